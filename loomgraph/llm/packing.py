@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
 Method: bulk-synchronous best fit.  Documents (cut into pieces of at most ``capacity`` ids) are sorted
-by length, and in every superstep the longest remaining pieces (all within a tenth of the longest) look
+by length, and in every superstep the longest remaining pieces (all within a hundredth of the longest) look
 for their successor: the smallest open gap that holds them.  Where more pieces want a gap size than gaps
 of that size exist, they are served by rank, longest first; the rest wait for the next superstep, after
 the gaps have been updated.  Pieces longer than every gap open new sequences.
@@ -119,7 +119,8 @@ def supersteps(counts: dict[int, int], capacity: int) -> Plan:
         sizes = sorted(gaps)
         changed: dict[int, list[tuple[int, int]]] = {}
         orphans = []
-        active = [n for n in left if 10 * n >= 9 * max(left)]
+        longest = max(left)
+        active = [n for n in left if 100 * n >= 99 * longest]
         for n in sorted(active, reverse=True):  # by rank: the longest first
             k = bisect_left(sizes, n)
             if k == len(sizes):
