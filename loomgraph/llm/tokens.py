@@ -15,7 +15,7 @@ import unicodedata
 
 import numpy as np
 
-MEMO_LIMIT = 1_200_000
+MEMO_LIMIT = 400_000
 #: The id appended to every document.
 END_ID = 0
 
