@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, minhash, packing, quality, tokenstore
+from . import chat, langid, licenses, minhash, mixing, packing, quality, tokenstore
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,19 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc.doc_id", "doc.source", "doc.text", F.round("rate", 9).alias("rate"), "copies", "copy", "shuffle_key")
+
+
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -40,8 +54,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": op3_token_store,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_language_id": op6_language_id,
+        "op7_poisson_mixing": op7_poisson_mixing,
+        "op9_chat_rotation": op9_chat_rotation,
+        "op10_license_digests": op10_license_digests,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_poisson_mixing": mixing.ORACLE,
+        "op9_chat_rotation": chat.ORACLE,
+        "op10_license_digests": licenses.oracle(),
+    }

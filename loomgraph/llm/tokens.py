@@ -2,8 +2,8 @@
 
 A text is cut only where the tokenizer's own pre-tokenizer is certain to cut, so the ids of the parts,
 joined, are the ids of the whole text.  Parts repeat (the commonest words are most of any text), so
-each worker process remembers the ids of up to ``MEMO_LIMIT`` parts; the limit bounds memory and has
-no effect on results.
+each worker process remembers the ids of up to ``MEMO_LIMIT`` parts that it met twice within about
+``NEW_LIMIT`` new ones; the limits bound memory and have no effect on results.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
+from array import array
+from itertools import islice
 
 import numpy as np
 
-MEMO_LIMIT = 400_000
+MEMO_LIMIT, NEW_LIMIT = 400_000, 100_000
 #: The id appended to every document.
 END_ID = 0
 
@@ -46,36 +47,51 @@ def _byte_alphabet() -> str:
 
 
 class _Memo(dict):
-    """Part (UTF-8) -> its ids as little-endian bytes; ``__missing__`` asks the library."""
+    """Part (UTF-8, without the leading space that ``lead`` stands for) -> its ids as little-endian bytes.
 
-    def __init__(self, library, item: np.dtype, spaced: bool) -> None:
+    ``__missing__`` asks the library.  ``bare`` is the memo of parts without a leading space.
+    """
+
+    def __init__(self, library, kind: str, lead: str, lower: bool, bare: _Memo | None = None) -> None:
         super().__init__()
-        self.library, self.item, self.spaced = library, item, spaced
-        self.model = library.model
-        self.bytes_as = str.maketrans({i: c for i, c in enumerate(_byte_alphabet())})
+        self.library, self.model, self.kind, self.lead, self.lower, self.bare = library, library.model, kind, lead, lower, bare
+        self.new: dict[bytes, bytes] = {}
+        alphabet = _byte_alphabet()
+        self.symbols = str.maketrans({i: c for i, c in enumerate(alphabet)})
+        self.head = alphabet[32] if lead else ""
+        self.stop, self.comma, self.line = (self._whole(x) for x in (".", ",", "\n"))
 
     def __missing__(self, part: bytes) -> bytes:
+        ids = self.new.pop(part, None)
+        if ids is not None:
+            if len(self) < MEMO_LIMIT:
+                self[part] = ids
+            return ids
         ids = self._find(part)
-        if len(self) < MEMO_LIMIT:
-            self[part] = ids
+        if len(self.new) >= NEW_LIMIT:
+            self.new.clear()
+        self.new[part] = ids
         return ids
 
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _find(self, part: bytes) -> bytes:
         text = part.decode()
-        word = text[1:] if self.spaced and text[:1] == " " else text
-        if word[-1:] in (".", ",") and self._plain(word[:-1]):
-            return self[part[:-1]] + self[part[-1:]]  # letters and marks are always cut apart
-        if self._plain(word):
-            # One pre-token: straight to the model, as the library would after normalising.
-            symbols = (part if self.spaced else word.lower().encode()).decode("latin-1").translate(self.bytes_as)
-            ids = [t.id for t in self.model.tokenize(symbols)]
-        else:
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype=self.item).tobytes()
-
-    @staticmethod
-    def _plain(word: str) -> bool:
-        return word.isalpha() and (word.isascii() or max(word) < "Ā")
+        if text.isascii():
+            if text.isalpha():  # one pre-token: straight to the model, as the library would after normalising
+                return array(self.kind, [t.id for t in self.model.tokenize(self.head + (text.lower() if self.lower else text))]).tobytes()
+        elif text.isalpha() and max(text) < "\u0100":
+            raw = text.lower().encode() if self.lower else part
+            return array(self.kind, [t.id for t in self.model.tokenize(self.head + raw.decode("latin-1").translate(self.symbols))]).tobytes()
+        if text[-1:] in (".", ",") and text[:-1].isalpha() and max(text) < "\u0100":  # letters and marks are always cut apart
+            return self[part[:-1]] + (self.stop if text[-1] == "." else self.comma)
+        if self.bare is not None and "\n" in text:
+            # Between two other characters a line break is a pre-token of its own.
+            first, *rest = text.split("\n")
+            if all(x.split() == [x] for x in (first, *rest)):
+                return self[first.encode()] + b"".join(self.line + self.bare[x.encode()] for x in rest)
+        return self._whole(self.lead + text)
 
 
 class TextEncoder:
@@ -91,19 +107,22 @@ class TextEncoder:
         self.item = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             self.cut = _cut_rule(json.load(f))
-        self.memo = _Memo(self.library, self.item, self.cut == "before spaces") if self.cut else None
+        kind = "H" if self.item.itemsize == 2 else "I"
+        self.bare = _Memo(self.library, kind, "", self.cut == "white space")
+        if self.cut == "before spaces":
+            self.bare.bare = self.bare
+        self.spaced = _Memo(self.library, kind, " ", False, self.bare)
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, dtype=self.item)
         if self.cut == "white space":
-            parts = text.encode().split()
-        elif self.cut == "before spaces" and not _UNSAFE_SPACE.search(text):
-            first, *rest = text.encode().split(b" ")
-            parts = [first, *[b" " + p for p in rest]] if first else [b" " + p for p in rest]
-        else:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.item)
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, parts)), dtype=self.item)
+            return np.frombuffer(b"".join(map(self.bare.__getitem__, text.encode().split())), dtype=self.item)
+        if self.cut == "before spaces" and not _UNSAFE_SPACE.search(text):
+            parts = text.encode().split(b" ")
+            head = self.bare[parts[0]] if parts[0] else b""
+            return np.frombuffer(head + b"".join(map(self.spaced.__getitem__, islice(parts, 1, None))), dtype=self.item)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.item)
 
     def document(self, text: str | None) -> np.ndarray:
         """The text's ids and the end id, as unsigned 32-bit little-endian integers; null counts as empty."""
@@ -127,7 +146,3 @@ def _cut_rule(spec: dict) -> str | None:
     if steps == ["Split", "ByteLevel"] and splits.get("invert") and splits.get("behavior") == "Removed" and lower and r"[^\s\p{L}\p{N}]+" in splits["pattern"].get("Regex", ""):
         return "white space"
     return None
-
-
-def is_letter(char: str) -> bool:
-    return unicodedata.category(char)[0] == "L"
