@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, minhash, mixing, packing, quality, tokenstore
+from . import chat, langid, licenses, minhash, mixing, neighbors, packing, quality, tokenstore
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_quality_rules": op2_quality_rules,
         "op3_token_store": op3_token_store,
+        "op4_pivot_near_dedup": op4_pivot_near_dedup,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_language_id": op6_language_id,
         "op7_poisson_mixing": op7_poisson_mixing,
