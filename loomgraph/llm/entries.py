@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, minhash, mixing, neighbors, packing, quality, tokenstore
+from . import chat, langid, licenses, minhash, mixing, neighbors, packing, quality, tokenstore, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "doc.source", "doc.text", F.round("rate", 9).alias("rate"), "copies", "copy", "shuffle_key")
 
 
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_language_id": op6_language_id,
         "op7_poisson_mixing": op7_poisson_mixing,
+        "op8_warc_archive": op8_warc_archive,
         "op9_chat_rotation": op9_chat_rotation,
         "op10_license_digests": op10_license_digests,
     }

@@ -8,7 +8,7 @@ sets.  With 64 bands of 6 minima a pair at the threshold shares a band with prob
 * Equal sets are one vertex before banding, so copies never meet in a bucket.
 * A bucket's members are first compared with its smallest id only.  After a round of components, just the
   pairs of a bucket whose ends are still in different components remain; they are compared in blocks of
-  bounded size.  Together every pair that shares a bucket is either compared or already connected, and no
+  bounded size, first one pair of each two components, at last all.  Together every pair that shares a bucket is either compared or already connected, and no
   step emits all pairs of a group.
 """
 
@@ -28,9 +28,11 @@ from .workspace import Workspace, grouped
 
 WORDS, BANDS, ROWS = 5, 64, 6
 THRESHOLD = 75  # per cent
-#: Signatures must agree as for this similarity: the threshold less five standard errors of 384 minima.
-SIGNATURE_FLOOR = 0.64
-BLOCK = 128
+#: Signatures must agree as for this similarity: the threshold less four standard errors of 384 minima.
+SIGNATURE_FLOOR = 0.66
+BLOCK = 512
+#: Rounds that try one pair of each two components; they only spare the last, complete round work.
+PROMISING_ROUNDS = 2
 _MEMO_LIMIT = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -184,34 +186,64 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int, work
     return links
 
 
-def _blocks(open_rows: DataFrame, signatures: DataFrame, floor: float) -> DataFrame:
-    """Pairs of different components within a bucket that look alike, compared block by block."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1
-    rows = open_rows.withColumn("block", F.floor(rank / BLOCK).cast("int")).withColumn("blocks", F.floor((F.col("size") - 1) / BLOCK).cast("int") + 1)
-    rows = rows.join(signatures.select("doc_id", "signature"), "doc_id")
-    other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
-    rows = rows.select("key", "doc_id", "component", "signature", "block", other)
+def _blocks(open_rows: DataFrame, signatures: DataFrame, floor: float, *, best: bool) -> DataFrame:
+    """Pairs of different components within a bucket that look alike, compared block by block.
+
+    ``best``: only the most alike pair of each two components.
+    """
+    # Ranked by component, a component is one run of ranks; a row meets the blocks that hold other
+    # components, so blocks inside one large component are never compared with each other.
+    in_key = Window.partitionBy("key")
+    rows = open_rows.withColumn("rank", F.row_number().over(in_key.orderBy("component", "doc_id")) - 1)
+    run = Window.partitionBy("key", "component")
+    rows = rows.withColumn("first", F.min("rank").over(run)).withColumn("last", F.max("rank").over(run))
+    rows = rows.withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int")).withColumn("last_block", F.floor((F.col("size") - 1) / BLOCK).cast("int"))
+    below, above = F.ceil(F.col("first") / BLOCK).cast("int") - 1, F.floor((F.col("last") + 1) / BLOCK).cast("int")
+    nothing = F.array().cast("array<int>")
+    others = F.array_union(
+        F.when(below >= 0, F.sequence(F.lit(0), below)).otherwise(nothing),
+        F.when(above <= F.col("last_block"), F.sequence(F.greatest(above, F.lit(0)), F.col("last_block"))).otherwise(nothing),
+    )
+    rows = rows.select("key", "doc_id", "component", "block", F.explode(others).alias("other")).join(signatures.select("doc_id", "signature"), "doc_id")
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "signature")
-    schema = T.StructType([T.StructField("a", rows.schema["doc_id"].dataType), T.StructField("b", rows.schema["doc_id"].dataType)])
+    kind = rows.schema["doc_id"].dataType
+    schema = T.StructType([*[T.StructField(c, kind) for c in ("a", "b", "of_a", "of_b")], T.StructField("estimate", T.DoubleType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["key", "i", "j"]):
             batch = table.combine_chunks().to_batches()[0]
-            ids, comp = batch.column(4), batch.column(5).to_numpy(zero_copy_only=False)
-            block, i, j = batch.column(3).to_numpy(), batch.column(1)[0].as_py(), batch.column(2)[0].as_py()
+            ids, of = batch.column(4), batch.column(5)
+            comp, block = of.to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            i, j = batch.column(1)[0].as_py(), batch.column(2)[0].as_py()
             m = _matrix(batch.column(6))
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            a, b = [], []
+            a, b, e = [], [], []
+            found: dict[tuple, tuple[float, int, int]] = {}
             for k in left.tolist():
                 at = right[(comp[right] != comp[k]) & ((right > k) | (i != j))]
-                at = at[_similarity(m[at], m[k]) >= floor] if at.size else at
-                a += [k] * at.size
-                b += at.tolist()
+                if not at.size:
+                    continue
+                est = _similarity(m[at], m[k])
+                for q in np.flatnonzero(est >= floor).tolist():
+                    if not best:
+                        a.append(k)
+                        b.append(int(at[q]))
+                        e.append(float(est[q]))
+                    elif (old := found.get(two := (comp[k], comp[at[q]]))) is None or est[q] > old[0]:
+                        found[two] = (float(est[q]), k, int(at[q]))
+            for v, x, y in found.values():
+                a.append(x)
+                b.append(y)
+                e.append(v)
             if a:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+                x, y = pa.array(a), pa.array(b)
+                yield pa.RecordBatch.from_arrays([ids.take(x), ids.take(y), of.take(x), of.take(y), pa.array(e)], names=schema.names)
 
     keys = ["key", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(compare, schema).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = rows.repartition(*keys).sortWithinPartitions(*keys, "component", "doc_id").mapInArrow(compare, schema)
+    if best:
+        out = out.groupBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).agg(F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("pair")).select("pair.*")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -235,17 +267,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = workspace.stage(buckets.join(ends.select("key", "center", "size"), "key"), "shared")
     star = workspace.stage(_alike(shared.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), described, floor), "star")
 
-    # First each vertex's most promising centre; then whatever could still join two components.
+    # First each vertex's most promising centre, then the most promising pair of each two components that
+    # share a bucket, and at last every pair that could still join two components.
     first = _confirm(star.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")), docs, words, threshold, workspace, "first")
     parts = connected_components(first, workspace, "parts")
-    named = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
-    placed = shared.join(named("doc_id"), "doc_id", "left").select("key", "doc_id", "size", F.coalesce("of_doc_id", "doc_id").alias("component"))
-    split = placed.where("size > 2").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    rest = star.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-    more = rest.unionByName(_blocks(placed.join(split.select("key"), "key", "left_semi"), described, floor))
-    second = _confirm(more, docs, words, threshold, workspace, "second")
-    if not second.isEmpty():
-        parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second), workspace, "joined")
+
+    def joined(pairs: DataFrame, parts: DataFrame, name: str) -> DataFrame | None:
+        links = _confirm(pairs, docs, words, threshold, workspace, name)
+        if links.isEmpty():
+            return None
+        return connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links), workspace, f"{name}-parts")
+
+    def still_open(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of the buckets with two components or more, and star pairs between components."""
+        of = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+        placed = shared.join(of("doc_id"), "doc_id", "left").select("key", "doc_id", "size", F.coalesce("of_doc_id", "doc_id").alias("component"))
+        split = placed.where("size > 2").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+        pairs = star.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+        return placed.join(split.select("key"), "key", "left_semi"), pairs
+
+    for k in range(PROMISING_ROUNDS):
+        merged = joined(_blocks(still_open(parts)[0], described, floor, best=True), parts, f"best-{k}")
+        if merged is None:
+            break
+        parts = merged
+    open_rows, pairs = still_open(parts)
+    parts = joined(pairs.unionByName(_blocks(open_rows, described, floor, best=False)), parts, "rest") or parts
 
     of_rep = equal.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return (
