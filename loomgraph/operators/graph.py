@@ -117,23 +117,23 @@ def trace(step: DataFrame, sources: DataFrame, starts: DataFrame, *, depth: int
     """
     near = cut(adjacency(step, sources, most=paths + depth))
     best = Window.partitionBy("start").orderBy("key")
-    one = F.array("start")
-    rows = starts.select("start").distinct().select("start", one.alias("path"), F.array(F.lit("")).alias("key"), F.lit(None).cast("string").alias("terminal"))
+    nothing = F.lit(None).cast("string")
+    rows = cut(starts.select("start").distinct()).select("start", F.array("start").alias("path"), F.array(F.lit("")).alias("key"), nothing.alias("terminal"))
     for level in range(1, depth + 1):
-        live = rows.where("terminal is null").withColumn("cur", F.element_at("path", -1)).join(near, "cur", "left")
-        open_to = F.filter(F.coalesce("callers", F.array().cast("array<struct<key:string,id:string>>")), lambda c: ~F.array_contains(F.col("path"), c["id"]))
-        live = live.withColumn("next", open_to).withColumn("is_source", F.coalesce("is_source", F.lit(False)))
+        # Ended paths ride along as they are, so a level is one join and one explode over one input.
+        live = rows.withColumn("cur", F.when(F.col("terminal").isNull(), F.element_at("path", -1))).join(near, "cur", "left")
+        live = live.withColumn("next", F.filter(F.coalesce("callers", F.array().cast("array<struct<key:string,id:string>>")), lambda c: ~F.array_contains(F.col("path"), c["id"])))
         ended = (
-            F.when(F.lit(level > 1) & F.col("is_source"), "source")
+            F.when(F.col("terminal").isNotNull(), F.col("terminal"))
+            .when(F.lit(level > 1) & F.coalesce("is_source", F.lit(False)), "source")
             .when(F.lit(level >= depth), F.when(F.col("callers").isNull(), "entry").otherwise("depth"))
             .when(F.col("callers").isNull(), "entry")
             .when(F.size("next") == 0, "cycle")
         )
         live = live.withColumn("ended", ended)
-        done = live.where("ended is not null").select("start", "path", "key", F.col("ended").alias("terminal"))
-        grown = live.where("ended is null").select("start", "path", "key", F.explode(F.slice("next", 1, paths)).alias("n"))
-        grown = grown.select("start", F.concat("path", F.array("n.id")).alias("path"), F.concat("key", F.array("n.key")).alias("key"), F.lit(None).cast("string").alias("terminal"))
-        rows = rows.where("terminal is not null").unionByName(done).unionByName(grown)
+        same = F.array(F.struct("path", "key", F.col("ended").alias("terminal")))
+        grown = F.transform(F.slice("next", 1, paths), lambda n: F.struct(F.concat(F.col("path"), F.array(n["id"])).alias("path"), F.concat(F.col("key"), F.array(n["key"])).alias("key"), nothing.alias("terminal")))
+        rows = live.select("start", F.explode(F.when(F.col("ended").isNotNull(), same).otherwise(grown)).alias("r")).select("start", "r.*")
         rows = rows.withColumn("k", F.row_number().over(best)).where(F.col("k") <= paths).drop("k")
         if level % 4 == 0:
             rows = cut(rows)
