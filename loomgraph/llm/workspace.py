@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = 1_000
+
+
 class Workspace:
     """A private folder in shared storage; ``stage`` writes a table there and reads it back."""
 
@@ -37,7 +40,14 @@ class Workspace:
         writer = df.write.option("compression", codec)
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        # Rows here hold whole texts, sets or vectors: small Arrow batches keep workers and executors small.
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+        try:
+            writer.parquet(path)
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
