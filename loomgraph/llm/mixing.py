@@ -16,8 +16,6 @@ SEED = "mix-1"
 FLATTEN = 0.5
 #: Source tables up to this many rows are broadcast (about 100 bytes a row); larger ones are shuffled.
 BROADCAST_SOURCES = 10_000
-#: The upper tail beyond rate + 12 * sqrt(rate) + 40 copies is under 1e-16, less than one step of the draw.
-_MOST = "cast(ceil({r} + 12 * sqrt({r}) + 40) as int)"
 
 
 def _text_key(doc: Column, text: Column) -> Column:
@@ -37,7 +35,9 @@ def poisson_count(rate: Column, uniform: Column) -> Column:
     """
     whole = F.floor(F.greatest(rate - 500, F.lit(0.0)))
     state = F.struct(F.lit(0).alias("k"), F.exp(-(rate - whole)).alias("term"), F.exp(-(rate - whole)).alias("sum"), F.lit(False).alias("done"))
-    steps = F.sequence(F.lit(1), F.expr(_MOST.format(r="least(rate, 500.0D)")))
+    # The upper tail beyond these copies is under 1e-16, less than one step of the draw.
+    near = F.least(rate, F.lit(501.0))
+    steps = F.sequence(F.lit(1), F.ceil(near + 12 * F.sqrt(near) + 40).cast("int"))
 
     def step(s: Column, k: Column) -> Column:
         done = s["done"] | (uniform < s["sum"])
