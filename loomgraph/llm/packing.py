@@ -58,8 +58,8 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None =
         enc = encoder(path)
         for batch in batches:
             row, start, length, crc = [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = enc.document(text.as_py())
+            for i, ids in enumerate(enc.documents(batch.column(1).cast(pa.binary()).to_pylist())):
+                ids = ids.astype("<u4")  # noqa: PLW2901
                 for a in range(0, ids.size, capacity):
                     part = ids[a : a + capacity]
                     row.append(i)

@@ -2,8 +2,8 @@
 
 A text is cut only where the tokenizer's own pre-tokenizer is certain to cut, so the ids of the parts,
 joined, are the ids of the whole text.  Parts repeat (the commonest words are most of any text), so
-each worker process remembers the ids of up to ``MEMO_LIMIT`` parts that it met twice within about
-``NEW_LIMIT`` new ones; the limits bound memory and have no effect on results.
+each worker process remembers the ids of parts: in a table that is probed for a batch of texts at once, and
+in small memos of the words inside parts.  Their limits bound memory and have no effect on results.
 """
 
 from __future__ import annotations
@@ -12,18 +12,25 @@ import json
 import os
 import re
 from array import array
-from itertools import islice
+from collections.abc import Iterator
 
 import numpy as np
 
-MEMO_LIMIT, NEW_LIMIT = 400_000, 100_000
+from .parttable import PartTable
+
+MEMO_LIMIT, NEW_LIMIT = 100_000, 50_000
+#: Bytes of texts whose parts are looked up together.
+GROUP_BYTES = 2_000_000
 #: The id appended to every document.
 END_ID = 0
 
+_BARE, _SPACED = 0, 1
+_IS_BLANK = np.array([c in b" \t\n\v\f\r" for c in range(256)])
 _encoders: dict[str, TextEncoder] = {}
-#: A space with white space on both sides, or at the end after white space: a byte-level
-#: pre-tokenizer may join it with its neighbour, so such texts are encoded uncut.
-_UNSAFE_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: White space before a space: with more white space after it a byte-level pre-tokenizer may join the
+#: two, so such texts are encoded uncut.
+_ASCII_BEFORE_SPACE = tuple(bytes([c, 32]) for c in (32, 10, 13, 9, 11, 12, 28, 29, 30, 31))
+_BEFORE_SPACE = re.compile(r"\s ")
 
 
 def tokenizer_path(name: str) -> str:
@@ -73,6 +80,10 @@ class _Memo(dict):
         self.new[part] = ids
         return ids
 
+    def ids_of(self, part: bytes) -> bytes:
+        """Ids of a part that is remembered elsewhere."""
+        return self._find(part) if part or self.lead else b""
+
     def _whole(self, text: str) -> bytes:
         return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -112,26 +123,69 @@ class TextEncoder:
         if self.cut == "before spaces":
             self.bare.bare = self.bare
         self.spaced = _Memo(self.library, kind, " ", False, self.bare)
-
-    def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, dtype=self.item)
-        if self.cut == "white space":
-            return np.frombuffer(b"".join(map(self.bare.__getitem__, text.encode().split())), dtype=self.item)
-        if self.cut == "before spaces" and not _UNSAFE_SPACE.search(text):
-            parts = text.encode().split(b" ")
-            head = self.bare[parts[0]] if parts[0] else b""
-            return np.frombuffer(head + b"".join(map(self.spaced.__getitem__, islice(parts, 1, None))), dtype=self.item)
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.item)
-
-    def document(self, text: str | None) -> np.ndarray:
-        """The text's ids and the end id, as unsigned 32-bit little-endian integers; null counts as empty."""
-        ids = self.ids(text) if text else np.empty(0, dtype=self.item)
-        out = np.empty(ids.size + 1, dtype="<u4")
-        out[:-1] = ids
-        out[-1] = END_ID
+        self.table = PartTable(lambda part, kind: (self.spaced if kind == _SPACED else self.bare).ids_of(part), self.item)
+
+    def ids(self, data: bytes) -> np.ndarray:
+        """Ids of a whole text in UTF-8."""
+        return self.many([data])[0]
+
+    def many(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of whole texts, in order."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        at: list[int] = []
+        size = 0
+        for i, data in enumerate(texts):
+            if not data:
+                out[i] = np.empty(0, dtype=self.item)
+            elif not self.cut or (self.cut == "before spaces" and _spaced_out(data)):
+                out[i] = np.array(self.library.encode(data.decode(), add_special_tokens=False).ids, dtype=self.item)
+            else:
+                at.append(i)
+                size += len(data)
+                if size >= GROUP_BYTES:
+                    self._group(texts, at, out)
+                    at, size = [], 0
+        if at:
+            self._group(texts, at, out)
         return out
 
+    def _group(self, texts: list[bytes], at: list[int], out: list) -> None:
+        """Look up the parts of some texts together and deal the ids out again."""
+        joined = b" ".join([texts[i] for i in at])
+        begins = np.cumsum([0, *[len(texts[i]) + 1 for i in at[:-1]]])
+        if self.cut == "white space":  # of a case-folding tokenizer, so A-Z may be folded first
+            joined = joined.lower()
+            blank = _IS_BLANK[np.frombuffer(joined, dtype=np.uint8)]
+            edge = np.diff(blank.astype(np.int8), prepend=1, append=1)
+            start, end = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+            kind = np.full(start.size, _BARE)
+            first = np.searchsorted(start, begins)
+        else:
+            spaces = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
+            start, end = np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(joined)]])
+            first = np.searchsorted(start, begins)
+            kind = np.full(start.size, _SPACED)
+            kind[first] = _BARE
+        ids, count = self.table.encode(joined, start, end, kind)
+        before = np.concatenate([[0], np.cumsum(count)])
+        for i, x in zip(at, np.split(ids, before[first[1:]]), strict=True):
+            out[i] = x
+
+    def documents(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """For each text its ids and the end id, in the smallest unsigned type that holds them; null counts as empty."""
+        for ids in self.many([t or b"" for t in texts]):
+            out = np.empty(ids.size + 1, dtype=self.item)
+            out[:-1] = ids
+            out[-1] = END_ID
+            yield out
+
+    def document(self, data: bytes | None) -> np.ndarray:
+        return next(self.documents([data]))
+
+
+def _spaced_out(data: bytes) -> bool:
+    return any(map(data.__contains__, _ASCII_BEFORE_SPACE)) or (not data.isascii() and _BEFORE_SPACE.search(data.decode()) is not None)
+
 
 def _cut_rule(spec: dict) -> str | None:
     """Where texts may be cut for this tokenizer; None: nowhere that is known to be safe."""

@@ -32,7 +32,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Chunk bounds in ids; a cut needs the rolling hash's top CUT_BITS bits to be zero.
 LEAST, MOST, WINDOW, CUT_BITS = 64, 2048, 16, 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-ROWS_PER_PARTITION = 250_000
+ROWS_PER_PARTITION = 50_000
 
 
 def digest(data: bytes) -> bytes:
@@ -98,8 +98,7 @@ def _encode(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame
         enc, known = encoder(path), set()
         for batch in batches:
             n_tokens, lengths, digests, roots, new_digest, new_n, new_ids = [], [], [], [], [], [], []
-            for text in batch.column(1):
-                ids = enc.document(text.as_py()).astype(enc.item)
+            for ids in enc.documents(batch.column(1).cast(pa.binary()).to_pylist()):
                 ends, last, own = cut_points(ids), 0, []
                 for end in ends:
                     data = ids[last:end].tobytes()
@@ -169,7 +168,9 @@ def write_store(docs: DataFrame, workspace: Workspace, *, name: str = "store", t
     spark = docs.sparkSession
     path = tokenizer or tokenizer_path(TOKENIZER)
     staged = workspace.stage(_encode(docs, path, id_col, text_col), f"{name}-staged", codec="zstd", partition_by="kind")
-    chunks = staged.where("kind = 1").select("digest", "n", "ids").dropDuplicates(["digest"])
+    # Tasks have dropped their own repeats already, so rows are dealt by digest at once, without another
+    # pass over each task's chunks.
+    chunks = staged.where("kind = 1").select("digest", "n", "ids").repartition("digest").dropDuplicates(["digest"])
     chunks.write.option("compression", "zstd").parquet(workspace.path(f"{name}/chunks"))
     recipes = staged.where("kind = 0").select("doc_id", "n_tokens", "lengths", "digests", "root")
     parts = partitions_for(spark, recipes.count(), ROWS_PER_PARTITION)
