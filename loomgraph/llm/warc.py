@@ -38,6 +38,8 @@ EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 BETWEEN = "\r\n\r\n"
 #: Captures to a merge range, and split candidates that a run offers for each of its ranges.
 RANGE, OFFERS = 50_000, 8
+#: Repeated payloads that are broadcast at most (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_PAYLOADS = 200_000
 _HEAD_END = b"\r\n\r\n"
 
 
@@ -88,7 +90,11 @@ def write_archives(pages: DataFrame, workspace: Workspace, *, name: str = "archi
     """
     slim = pages.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("sha1"), F.octet_length("html").alias("bytes"))
     firsts = slim.where(F.col("page_id").isNotNull() & (F.col("bytes") >= least_bytes)).groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    typed = pages.withColumn("sha1", F.sha1(F.encode("html", "UTF-8"))).join(firsts.select("sha1", "first"), "sha1", "left")
+    firsts = firsts.select("sha1", "first")
+    # Only payloads that repeat are looked up.  While they are few, pages stay where they are read.
+    if (firsts := workspace.stage(firsts, f"{name}-firsts")).count() <= BROADCAST_PAYLOADS:
+        firsts = F.broadcast(firsts)
+    typed = pages.withColumn("sha1", F.sha1(F.encode("html", "UTF-8"))).join(firsts, "sha1", "left")
     typed = typed.select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +291,6 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     spark = pages.sparkSession
     workspace = Workspace(spark, "warc")
     path = write_archives(_rows(pages, id_col, url_col, html_col), workspace)
-    records = workspace.stage(resolve(read_archives(spark, path)), "records")
+    records = workspace.stage(resolve(workspace.stage(read_archives(spark, path), "read")), "records")
     index = merge_index(records, workspace).select("archive", "record_offset", "merge_range", "merge_pos")
     return records.join(index, ["archive", "record_offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "archive", "record_offset", "merge_range", "merge_pos")
