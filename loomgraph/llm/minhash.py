@@ -15,39 +15,35 @@ sets.  With 64 bands of 6 minima a pair at the threshold shares a band with prob
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .workspace import Workspace, grouped
+from .workspace import Workspace, grouped, partitions_for
 
 WORDS, BANDS, ROWS = 5, 64, 6
 THRESHOLD = 75  # per cent
 #: Signatures must agree as for this similarity: the threshold less four standard errors of 384 minima.
 SIGNATURE_FLOOR = 0.66
 BLOCK = 512
+#: Documents whose sets one task holds when the remaining candidates are confirmed.
+CHUNK = 1024
+#: Ids of documents to be read again that are broadcast at most (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Rounds that try one pair of each two components; they only spare the last, complete round work.
 PROMISING_ROUNDS = 2
-_MEMO_LIMIT = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < _MEMO_LIMIT:
-            self[word] = h
-        return h
-
-
-_hashes = _WordHash()
+_BLANK = np.array([c in b" \t\n\v\f\r" for c in range(256)])
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,12 +52,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash for each word: from its bytes and length up to 16 bytes, by xxhash beyond."""
+    blank = _BLANK[np.frombuffer(data, dtype=np.uint8)]
+    edge = np.diff(blank.view(np.int8), prepend=np.int8(1), append=np.int8(1))
+    start, end = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    padded = np.frombuffer(data + bytes(24), dtype=np.uint8)
+    eight = np.ndarray(shape=(padded.size - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    n = end - start
+    low = eight[start] & _MASKS[np.minimum(n, 8)]
+    high = eight[start + 8 * (n > 8)] & _MASKS[np.clip(n - 8, 0, 8)]
+    out = _mix(_mix(low + _ODD) ^ (high * _ODD) ^ n.astype(np.uint64))
+    for k in np.flatnonzero(n > 16).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[start[k] : end[k]])
+    return out
+
+
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a whole text's shingles."""
-    parts = text.encode().lower().split() if text else []
-    if not parts:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, parts), dtype=np.uint64, count=len(parts))
+    h = word_hashes(text.encode().lower()) if text else np.empty(0, dtype=np.uint64)
+    if not h.size:
+        return h
     size = min(words, h.size)
     rolled = np.full(h.size - size + 1, size, dtype=np.uint64)
     for k in range(size):
@@ -154,19 +165,29 @@ def _alike(pairs: DataFrame, signatures: DataFrame, floor: float) -> DataFrame:
     return met.mapInArrow(compare, schema)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int, workspace: Workspace, name: str) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough; only documents in a pair are read again."""
-    pairs = workspace.stage(pairs.select("a", "b").distinct(), f"{name}-pairs")
-    if pairs.isEmpty():
-        return pairs
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with the ids; texts stay where they are read unless the ids are too many to broadcast."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles) with the full set of each whole text."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], names=schema.names)
 
-    full = workspace.stage(docs.join(involved, "doc_id", "left_semi").mapInArrow(sets, schema), f"{name}-sets")
+    return docs.select("doc_id", "text").mapInArrow(sets, schema)
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int, workspace: Workspace, name: str) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough; only documents in a pair are read again."""
+    pairs = workspace.stage(pairs.select("a", "b").distinct(), f"{name}-pairs")
+    if pairs.isEmpty():
+        return pairs
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    full = workspace.stage(_sets(_only(docs, involved), words), f"{name}-sets")
     met = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     linked = T.StructType([met.schema["a"], met.schema["b"]])
 
@@ -186,10 +207,16 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int, work
     return links
 
 
-def _blocks(open_rows: DataFrame, signatures: DataFrame, floor: float, *, best: bool) -> DataFrame:
-    """Pairs of different components within a bucket that look alike, compared block by block.
+def _chunk(doc_id: object, chunks: int) -> int:
+    return zlib.crc32(str(doc_id).encode()) % chunks
+
+
+def _blocks(open_rows: DataFrame, signatures: DataFrame, floor: float, *, chunks: int | None = None) -> DataFrame:
+    """What looks alike across the components of a bucket, compared block by block.
 
-    ``best``: only the most alike pair of each two components.
+    Without ``chunks``: (a, b), the most alike pair of each two components.  With it, everything, as (a,
+    chunk, others): the alike documents of one chunk in one array, and a row with null others for each document
+    that stands in an array.
     """
     # Ranked by component, a component is one run of ranks; a row meets the blocks that hold other
     # components, so blocks inside one large component are never compared with each other.
@@ -200,52 +227,123 @@ def _blocks(open_rows: DataFrame, signatures: DataFrame, floor: float, *, best:
     rows = rows.withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int")).withColumn("last_block", F.floor((F.col("size") - 1) / BLOCK).cast("int"))
     below, above = F.ceil(F.col("first") / BLOCK).cast("int") - 1, F.floor((F.col("last") + 1) / BLOCK).cast("int")
     nothing = F.array().cast("array<int>")
-    others = F.array_union(
+    met = F.array_union(
         F.when(below >= 0, F.sequence(F.lit(0), below)).otherwise(nothing),
         F.when(above <= F.col("last_block"), F.sequence(F.greatest(above, F.lit(0)), F.col("last_block"))).otherwise(nothing),
     )
-    rows = rows.select("key", "doc_id", "component", "block", F.explode(others).alias("other")).join(signatures.select("doc_id", "signature"), "doc_id")
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "signature")
+    rows = rows.select("key", "doc_id", "component", "block", (F.col("last") - F.col("first") + 1).alias("weight"), F.explode(met).alias("other")).join(signatures.select("doc_id", "signature"), "doc_id")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "signature", "weight")
     kind = rows.schema["doc_id"].dataType
-    schema = T.StructType([*[T.StructField(c, kind) for c in ("a", "b", "of_a", "of_b")], T.StructField("estimate", T.DoubleType())])
+    pair = T.StructType([*[T.StructField(c, kind) for c in ("a", "b", "of_a", "of_b")], T.StructField("estimate", T.DoubleType())])
+    packed = T.StructType([T.StructField("a", kind), T.StructField("chunk", T.IntegerType()), T.StructField("others", T.ArrayType(kind))])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]]:
+        """Per block comparison: its rows, their components, and for each left row the alike right rows."""
         for table in grouped(batches, ["key", "i", "j"]):
             batch = table.combine_chunks().to_batches()[0]
-            ids, of = batch.column(4), batch.column(5)
-            comp, block = of.to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            comp, block = batch.column(5).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
             i, j = batch.column(1)[0].as_py(), batch.column(2)[0].as_py()
             m = _matrix(batch.column(6))
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            a, b, e = [], [], []
-            found: dict[tuple, tuple[float, int, int]] = {}
-            for k in left.tolist():
-                at = right[(comp[right] != comp[k]) & ((right > k) | (i != j))]
-                if not at.size:
-                    continue
-                est = _similarity(m[at], m[k])
-                for q in np.flatnonzero(est >= floor).tolist():
-                    if not best:
-                        a.append(k)
-                        b.append(int(at[q]))
-                        e.append(float(est[q]))
-                    elif (old := found.get(two := (comp[k], comp[at[q]]))) is None or est[q] > old[0]:
-                        found[two] = (float(est[q]), k, int(at[q]))
-            for v, x, y in found.values():
-                a.append(x)
-                b.append(y)
-                e.append(v)
-            if a:
+
+            def each(m=m, comp=comp, left=left, right=right, same=i == j):
+                for k in left.tolist():
+                    at = right[(comp[right] != comp[k]) & ((right > k) | (not same))]
+                    if at.size:
+                        est = _similarity(m[at], m[k])
+                        keep = est >= floor
+                        if keep.any():
+                            yield k, at[keep], est[keep]
+
+            yield batch, comp, each()
+
+    def best_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, comp, found in alike(batches):
+            best: dict[tuple, tuple[float, int, int]] = {}
+            for k, at, est in found:
+                for q, e in zip(at.tolist(), est.tolist(), strict=True):
+                    old = best.get(two := (comp[k], comp[q]))
+                    if old is None or e > old[0]:
+                        best[two] = (e, k, q)
+            if best:
+                e, a, b = zip(*best.values(), strict=True)
                 x, y = pa.array(a), pa.array(b)
-                yield pa.RecordBatch.from_arrays([ids.take(x), ids.take(y), of.take(x), of.take(y), pa.array(e)], names=schema.names)
+                ids, of = batch.column(4), batch.column(5)
+                yield pa.RecordBatch.from_arrays([ids.take(x), ids.take(y), of.take(x), of.take(y), pa.array(e)], names=pair.names)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, found in alike(batches):
+            ids = batch.column(4)
+            names, weight = ids.to_pylist(), batch.column(7).to_numpy()
+            # The document of the smaller component asks, so a few stragglers of a large group make a few
+            # long arrays and not one array for each member.
+            by: dict[tuple[int, int], list] = {}
+            used = set()
+            for k, at, _ in found:
+                for q in at.tolist():
+                    a, b = (q, k) if weight[q] < weight[k] else (k, q)
+                    used.add(b)
+                    by.setdefault((a, _chunk(names[b], chunks)), []).append(names[b])
+            a, chunk, others = [names[k] for k, _ in by], [c for _, c in by], list(by.values())
+            for q in used:
+                a.append(names[q])
+                chunk.append(_chunk(names[q], chunks))
+                others.append(None)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, ids.type), pa.array(chunk, pa.int32()), pa.array(others, pa.list_(ids.type))], names=packed.names)
 
     keys = ["key", "i", "j"]
-    out = rows.repartition(*keys).sortWithinPartitions(*keys, "component", "doc_id").mapInArrow(compare, schema)
-    if best:
-        out = out.groupBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).agg(F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("pair")).select("pair.*")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "component", "doc_id")
+    if chunks:
+        return dealt.mapInArrow(lists, packed)
+    out = dealt.mapInArrow(best_pairs, pair).groupBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).agg(F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("pair")).select("pair.*")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _confirm_lists(packed: DataFrame, parts: DataFrame, docs: DataFrame, words: int, threshold: int, workspace: Workspace, name: str) -> DataFrame:
+    """Links (a, b) found in packed candidates, one for each document and component it links with.
+
+    A chunk's task holds the sets of the chunk's documents (about ``CHUNK``) and streams the arrays past
+    them, so no row is made for a pair.
+    """
+    packed = workspace.stage(packed, f"{name}-packed")
+    if packed.isEmpty():
+        return packed.select("a", F.col("a").alias("b"))
+    involved = packed.select(F.col("a").alias("doc_id")).distinct()
+    full = workspace.stage(_sets(_only(docs, involved), words).dropDuplicates(["doc_id"]), f"{name}-sets")
+    kind = packed.schema["a"].dataType
+    shingles = full.select(F.col("doc_id").alias("a"), "shingles")
+    held = packed.where("others is null").select("a", "chunk").distinct().join(parts.select(F.col("id").alias("a"), F.col("component")), "a", "left").select("a", "chunk", F.lit(0).alias("turn"), F.coalesce("component", "a").alias("component"), F.lit(None).cast(packed.schema["others"].dataType).alias("others"))
+    asked = packed.where("others is not null").groupBy("a", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")).select("a", "chunk", F.lit(1).alias("turn"), F.lit(None).cast(kind).alias("component"), "others")
+    rows = held.unionByName(asked).join(shingles, "a").select("chunk", "turn", "a", "component", "others", "shingles").repartition("chunk").sortWithinPartitions("chunk", "turn", "a")
+    linked = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, {}
+        for batch in batches:
+            x, y = [], []
+            for chunk, turn, a, component, others, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk != now:
+                    now, sets = chunk, {}
+                own = np.frombuffer(data, dtype=np.uint64)
+                if turn == 0:
+                    sets[a] = (component, own)
+                    continue
+                done = set()
+                for b in others:
+                    component, other = sets[b]
+                    if component in done:
+                        continue
+                    both = np.intersect1d(own, other, assume_unique=True).size
+                    if 100 * both >= threshold * (own.size + other.size - both):
+                        done.add(component)
+                        x.append(a)
+                        y.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, batch.column(2).type), pa.array(y, batch.column(2).type)], names=["a", "b"])
+
+    return workspace.stage(rows.mapInArrow(confirm, linked), f"{name}-links")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable, itself included), kept.
 
@@ -272,11 +370,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = _confirm(star.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")), docs, words, threshold, workspace, "first")
     parts = connected_components(first, workspace, "parts")
 
-    def joined(pairs: DataFrame, parts: DataFrame, name: str) -> DataFrame | None:
-        links = _confirm(pairs, docs, words, threshold, workspace, name)
+    def joined(links: DataFrame, parts: DataFrame, name: str) -> DataFrame | None:
         if links.isEmpty():
             return None
-        return connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links), workspace, f"{name}-parts")
+        return connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b")), workspace, name)
 
     def still_open(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of the buckets with two components or more, and star pairs between components."""
@@ -287,12 +384,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return placed.join(split.select("key"), "key", "left_semi"), pairs
 
     for k in range(PROMISING_ROUNDS):
-        merged = joined(_blocks(still_open(parts)[0], described, floor, best=True), parts, f"best-{k}")
+        pairs = _blocks(still_open(parts)[0], described, floor)
+        merged = joined(_confirm(pairs, docs, words, threshold, workspace, f"best-{k}"), parts, f"best-{k}-parts")
         if merged is None:
             break
         parts = merged
     open_rows, pairs = still_open(parts)
-    parts = joined(pairs.unionByName(_blocks(open_rows, described, floor, best=False)), parts, "rest") or parts
+    chunks = partitions_for(spark, open_rows.select("doc_id").distinct().count(), CHUNK)
+    chunk_of = lambda c: F.pmod(F.crc32(F.col(c).cast("string")), F.lit(chunks)).cast("int")
+    packed = _blocks(open_rows, described, floor, chunks=chunks)
+    packed = packed.unionByName(pairs.select("a", chunk_of("b").alias("chunk"), F.array("b").alias("others")))
+    packed = packed.unionByName(pairs.select(F.col("b").alias("a"), chunk_of("b").alias("chunk"), F.lit(None).cast(packed.schema["others"].dataType).alias("others")))
+    rest = _confirm_lists(packed, parts, docs, words, threshold, workspace, "rest")
+    parts = joined(rest, parts, "rest-parts") or parts
 
     of_rep = equal.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return (
