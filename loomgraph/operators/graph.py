@@ -58,7 +58,7 @@ def ancestor_closure(supers: DataFrame) -> DataFrame:
         frontier = cut(new)
         if frontier.isEmpty():
             return found
-        found = cut(found.unionByName(frontier))
+        found = found.unionByName(frontier)  # each part is a written table
     raise ValueError(f"the type hierarchy is deeper than {DEEPEST_HIERARCHY}")
 
 

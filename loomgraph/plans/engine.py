@@ -77,7 +77,11 @@ def index(spark: SparkSession, source: str, root: str) -> store.Snapshot:
     rows = files.select("path", F.when(F.col("route") == "java", "source").otherwise("bytecode").alias("origin"), F.lit(None).cast("string").alias("container"), F.col("route").alias("language"), "content_hash", "size", "modified_at", F.lit(now).alias("indexed_at"), F.lit(None).cast("string").alias("errors"))
     first = [f"{r.internal}: {r.kept or r.internal} / {r.other or r.internal}" for r in doubles.orderBy("internal", "seq").limit(DUPLICATES_SHOWN).collect()]
     meta = spark.createDataFrame([("input", source), ("indexed_at", str(now)), ("duplicate_classes", str(doubles.count())), ("duplicate_classes_sample", "\n".join(first)), ("schema_version", "1")], "key string, value string")
-    texts = sources.select("path", F.decode("content", "UTF-8").alias("text"))
+    # Classes whose top-level type has a source file need no skeleton.
+    top = lambda c: F.substring_index(F.substring_index(c, "$", 1), "/", -1)
+    covered = raw_nodes.where("from_source and kind not in ('method', 'field')").select(F.substring("id", 3, 1 << 20).alias("internal")).distinct()
+    bare = classes.join(covered, "internal", "left_anti").where(top("internal") == F.substring_index("internal", "/", -1))
+    texts = artifacts.texts(sources.select("path", "kind", "content").unionByName(bare.select("path", "kind", "content")))
     base = {"nodes": nodes, "edges": edges, "files": rows, "meta": meta, "class_bytes": classes.select("internal", "path", "content"), "texts": texts}
     snapshot = store.write(spark, root, base | {"postings": search.postings(nodes), "members": members.select("path", "container", "kind", "internal")})
     return snapshot
@@ -172,7 +176,7 @@ class Engine:
         return self.nodes.where((F.col("id") == f"C:{owner}") | ((F.col("owner") == owner) & (F.col("kind") == "method"))).orderBy(F.col("owner").asc_nulls_first(), "name", "id")
 
     def source(self, class_name: str) -> DataFrame:
-        """The text of the class's file, if its source is indexed."""
+        """The text of the class's source file, or its skeleton."""
         top = class_name.strip().replace(".", "/").partition("$")[0]
         return self.snapshot.texts.where(F.col("path").endswith(f"/{top}.java"))
 

@@ -65,6 +65,39 @@ def members(files: DataFrame) -> DataFrame:
     return files.select("path", "route", "content").mapInPandas(unpack, MEMBERS)
 
 
+def skeleton(data: bytes) -> str:
+    """What a class file declares and calls, as text: it stands in for source where there is none."""
+    cls = classfile.read_class(data)
+    package, _, simple = cls.name.rpartition("/")
+    kind = "interface" if cls.access & classfile.ACC_INTERFACE else "class"
+    dotted = lambda names: ", ".join(x.replace("/", ".") for x in names)
+    parent = f" extends {dotted([cls.super_name])}" if cls.super_name and cls.super_name != "java/lang/Object" else ""
+    out = [f"package {package.replace('/', '.')};"] if package else []
+    out.append(f"{kind} {simple}{parent}{' implements ' + dotted(cls.interfaces) if cls.interfaces else ''} {{")
+    out += [f"    {name} : {descriptor};" for name, descriptor, _ in cls.fields]
+    for m in cls.methods:
+        out.append(f"    {m.name}{m.descriptor} {{")
+        out += [f"        {'.'.join(cls.ref(i.index)[:2])}{cls.ref(i.index)[2]};" for i in classfile.instructions(m.code or b"") if 0xB6 <= i.op <= 0xB9]
+        out.append("    }")
+    return "\n".join([*out, "}"])
+
+
+def texts(found: DataFrame) -> DataFrame:
+    """(path, text): sources as they are; for classes their skeletons, under the class's own path ending in .java."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, kind, content in zip(frame.path, frame.kind, frame.content, strict=True):
+                if kind == "java":
+                    out.append((path, content.decode("utf-8", "replace")))
+                else:
+                    out.append((path.removesuffix(".class") + ".java", skeleton(content)))
+            yield pd.DataFrame(out, columns=["path", "text"])
+
+    return found.select("path", "kind", "content").mapInPandas(run, "path string, text string")
+
+
 def _rows(frames: Iterator[pd.DataFrame], part: int, columns: list[str]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for path, kind, content in zip(frame.path, frame.kind, frame.content, strict=True):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import subprocess
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,12 @@ def read_changed(spark: SparkSession, path: str) -> DataFrame:
     return parse_changed(spark.read.text(path).withColumnRenamed("value", "line"))
 
 
+def git_changed(spark: SparkSession, folder: str, ref: str) -> DataFrame:
+    """(path) of what differs between a ref's merge base and the head of a working copy on the driver."""
+    out = subprocess.run(["git", "-C", folder, "diff", "--name-only", f"{ref}...HEAD"], capture_output=True, text=True, check=True).stdout
+    return parse_changed(spark.createDataFrame([(x,) for x in out.splitlines()], "line string"))
+
+
 def read_json_rules(path: str | Path | None) -> list[dict]:
     """Sanitizer or propagation rules: {"rules": [...]}; a missing or bad file has none."""
     try:

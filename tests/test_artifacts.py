@@ -167,6 +167,24 @@ def test_index_and_questions(spark, indexed):
     (src / "p" / "New.java").unlink()
 
 
+def test_a_class_without_source_has_a_skeleton(classes):
+    text = artifacts.skeleton(classes["p/Web$Impl"])
+    assert "class Web$Impl implements p.Web$Face {" in text and "p/Web.helper(DLjava/lang/String;)V;" in text
+
+
+def test_changed_paths_from_git(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    (tmp_path / "a.java").write_text("1")
+    git("add", ".")
+    git("commit", "-qm", "a")
+    git("checkout", "-qb", "next")
+    (tmp_path / "b.java").write_text("2")
+    git("add", ".")
+    git("commit", "-qm", "b")
+    assert [r.path for r in rules.git_changed(spark, str(tmp_path), "main").collect()] == ["b.java"]
+
+
 def test_requests(spark, indexed):
     e = engine.Engine(spark, indexed[1].as_uri())
     ask = lambda *lines: [json.loads(x) for x in server.serve(e, [json.dumps(x) if isinstance(x, dict) else x for x in lines])]
