@@ -32,7 +32,7 @@ class PartTable:
         n = 1 << bits
         self.low, self.high = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
         self.tag = np.full(n, _EMPTY, dtype=np.uint8)
-        self.start, self.count = np.zeros(n, dtype=np.uint32), np.zeros(n, dtype=np.uint32)
+        self.start, self.count = np.zeros(n, dtype=np.uint32), np.zeros(n, dtype=np.uint8)
 
     def _slot(self, low: np.ndarray, high: np.ndarray, tag: np.ndarray) -> np.ndarray:
         h = (low * _A) ^ (high * _B) ^ (tag.astype(np.uint64) * _C)
@@ -117,14 +117,14 @@ class PartTable:
             at[missed], count[missed] = starts[which], sizes[which]
             # Keep them, unless the table is full or the key is long: then their ids are only borrowed space.
             one = missed[np.unique(which, return_index=True)[1]]
-            fits = short[one]
+            fits = short[one] & (sizes < 256)
             if fits.all() and self.size + one.size <= LIMIT:
                 keep = np.arange(one.size)
             else:
                 keep = np.flatnonzero(fits) if self.size + int(fits.sum()) <= LIMIT else np.empty(0, dtype=np.int64)
             if keep.size:
                 self._room(keep.size)
-                self._insert(low[one[keep]], high[one[keep]], tag[one[keep]], starts[keep].astype(np.uint32), sizes[keep].astype(np.uint32))
+                self._insert(low[one[keep]], high[one[keep]], tag[one[keep]], starts[keep].astype(np.uint32), sizes[keep].astype(np.uint8))
                 self.used += int(sizes.sum())
         total = int(count.sum())
         from_ = np.repeat(at - (np.cumsum(count) - count), count)

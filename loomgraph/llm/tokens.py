@@ -18,9 +18,9 @@ import numpy as np
 
 from .parttable import PartTable
 
-MEMO_LIMIT, NEW_LIMIT = 100_000, 50_000
+MEMO_LIMIT, NEW_LIMIT = 30_000, 20_000
 #: Bytes of texts whose parts are looked up together.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 250_000
 #: The id appended to every document.
 END_ID = 0
 
