@@ -238,17 +238,34 @@ def merge_index(records: DataFrame, workspace: Workspace, *, name: str = "index"
     packed = T.StructType([T.StructField("merge_range", T.IntegerType()), T.StructField("slices", T.ArrayType(_ENTRY))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A sorted run's slices, one row for each range and batch."""
+        """The sorted runs' slices, one row for each run and range.
+
+        A task reads several small runs one after another, and a batch may hold the end of one and the start
+        of the next; a run ends where ``run`` changes or the key goes down.
+        """
         splits = shared.value
+
+        def packed_slice(r: int, rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"merge_range": r, "slices": [dict(zip(key, x, strict=True)) for x in rows]}], schema=_arrow(packed))
+
+        held: list[tuple] = []  # the slice that the next batch may go on with
+        held_range = held_run = None
         for batch in batches:
+            numbers = batch.column(5).to_pylist()
             rows = list(zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True))
-            at = 0
-            while at < len(rows):
-                r = bisect_right(splits, rows[at])
-                end = len(rows) if r == len(splits) else _first_at_least(rows, splits[r], at)
-                part = [dict(zip(key, x, strict=True)) for x in rows[at:end]]
-                yield pa.RecordBatch.from_pylist([{"merge_range": r, "slices": part}], schema=_arrow(packed))
-                at = end
+            starts = [i for i in range(1, len(rows)) if numbers[i] != numbers[i - 1] or rows[i] < rows[i - 1]]
+            for at, stop in zip([0, *starts], [*starts, len(rows)], strict=True):
+                while at < stop:
+                    r = bisect_right(splits, rows[at])
+                    end = stop if r == len(splits) else _first_at_least(rows, splits[r], at, stop)
+                    if held and (held_range != r or held_run != numbers[at] or rows[at] < held[-1]):
+                        yield packed_slice(held_range, held)
+                        held = []
+                    held_range, held_run = r, numbers[at]
+                    held += rows[at:end]
+                    at = end
+        if held:
+            yield packed_slice(held_range, held)
 
     slices = runs.select(*key, "run").mapInArrow(cut, packed).groupBy("merge_range").agg(F.collect_list("slices").alias("runs"))
     out = T.StructType([*_ENTRY.fields, T.StructField("merge_range", T.IntegerType()), T.StructField("merge_pos", T.LongType())])
@@ -263,8 +280,8 @@ def merge_index(records: DataFrame, workspace: Workspace, *, name: str = "index"
     return workspace.stage(slices.mapInArrow(merge, out), name)
 
 
-def _first_at_least(rows: list[tuple], bound: tuple, start: int) -> int:
-    lo, hi = start, len(rows)
+def _first_at_least(rows: list[tuple], bound: tuple, start: int, stop: int) -> int:
+    lo, hi = start, stop
     while lo < hi:
         mid = (lo + hi) // 2
         lo, hi = (mid + 1, hi) if rows[mid] < bound else (lo, mid)

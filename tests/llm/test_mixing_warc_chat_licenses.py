@@ -112,6 +112,16 @@ def test_index_in_many_ranges(spark):
     assert order == sorted(order)
 
 
+def test_index_of_many_more_archives_than_cores(spark):
+    rows = [(f"run{i % 40:02d}", i, i % 97, "response", None, f"host{(i % 3) * (i % 7)}", f"{i % 11:014d}") for i in range(4000)]
+    schema = "archive string, record_offset long, page_id long, record_type string, refers_to long, url_key string, captured_at string"
+    records = spark.createDataFrame(rows, schema).repartitionByRange(40, "archive")
+    got = warc.merge_index(records, Workspace(spark, "many"), range_rows=200).collect()
+    assert len(got) == 4000 and len({r.merge_range for r in got}) > 10
+    order = [tuple(r)[:5] for r in sorted(got, key=lambda r: (r.merge_range, r.merge_pos))]
+    assert order == sorted(order)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_loser_tree(seed):
     rng = random.Random(seed)
