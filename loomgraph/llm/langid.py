@@ -5,7 +5,9 @@ without ASCII digits or marks.  A text's representation is the mean of its subwo
 layer gives the languages.  Embeddings and layer are trained together by stochastic gradient descent in
 numpy on a bounded sample of labelled rows (``SAMPLE`` rows, ``SAMPLE_CHARS`` characters each).  A held-out
 part of the sample sets the softmax temperature, and the rejection threshold: the lowest confidence from
-which the accepted part errs at most ``MOST_ERRORS`` of the time.
+which the accepted part errs at most ``MOST_ERRORS`` of the time, but at least the one midway, in log-odds,
+between chance and the ``LOW`` quantile of the rightly named part.  So texts in no learned language are
+rejected even if the learned ones never err.  A model of one language gives it the probability 1 and cannot reject.
 
 Prediction reads whole texts.  As mean and layer are linear, the embeddings are folded into one score per
 subword and language, so a document costs a table lookup per byte.
@@ -26,6 +28,7 @@ from .workspace import importable_on_workers
 SAMPLE, SAMPLE_CHARS = 4_000, 20_000
 BUCKET_BITS, DIMENSION, EPOCHS, RATE = 15, 16, 6, 0.5
 MOST_ERRORS = 0.01
+LOW = 0.01
 UNKNOWN = "und"
 _CHUNK = 1 << 20
 _KEYS = {2: np.uint32(0x9E3779B1), 3: np.uint32(0x85EBCA6B), 4: np.uint32(0xC2B2AE35)}
@@ -87,6 +90,17 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _least_confidence(right: np.ndarray, k: int) -> float:
+    """Midway between chance among k languages and the confidence of rightly named rows; without rows, and certainty."""
+    if k < 2:
+        return 1.0
+    if not right.size:
+        return (1 + 1 / k) / 2
+    odds = lambda p: np.log(p / (1 - p))
+    low = float(np.clip(np.quantile(right, LOW), 1 / k, 1 - 1e-12))
+    return float(1 / (1 + np.exp(-(odds(1 / k) + odds(low)) / 2)))
+
+
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """Fit on (text, language) rows; a fifth of them only calibrates."""
     rng = np.random.default_rng(seed)
@@ -126,17 +140,18 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             # The mean's gradient is spread over few thousand subwords; a larger step keeps up with the layer.
             embed[at] -= (20 * rate * share)[:, None] * back
             steps += 1
-    model = Model(languages, embed @ layer.T, bias.astype(float), 1.0, 0.0)
+    model = Model(languages, embed @ layer.T, bias.astype(float), 1.0, _least_confidence(np.zeros(0), k))
     if checks:
         logits, y = np.array([model.logits(t) for t, _ in checks]), np.array([c for _, c in checks])
         grid = np.exp(np.linspace(-0.7, 2, 55))
         model.temperature = float(min(grid, key=lambda t: -np.log(_softmax(logits / t)[np.arange(y.size), y] + 1e-12).mean()))
         p = _softmax(logits / model.temperature)
+        model.threshold = _least_confidence(p.max(axis=1)[p.argmax(axis=1) == y], k)
         order = np.argsort(-p.max(axis=1), kind="stable")
         wrong = np.cumsum(p.argmax(axis=1)[order] != y[order])
         fine = np.flatnonzero(wrong <= MOST_ERRORS * np.arange(1, y.size + 1))
         if fine.size and fine[-1] + 1 < y.size:
-            model.threshold = float(p.max(axis=1)[order[fine[-1]]])
+            model.threshold = max(model.threshold, float(p.max(axis=1)[order[fine[-1]]]))
     return model
 
 

@@ -1,5 +1,7 @@
 import collections
+import random
 import re
+import string
 import zlib
 
 from hypothesis import given, settings
@@ -91,6 +93,16 @@ def test_language_of_held_out_documents(spark):
     assert {r.lang_pred for r in nobody.collect()} == {"und"}
 
 
+def test_unlearned_languages_and_random_letters_are_rejected(spark):
+    rng = random.Random(5)
+    letters = [" ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(3, 9))) for _ in range(n)) for n in (8, 20, 60, 200) for _ in range(10)]
+    unlearned = ["wod vek paj hud quc " * 6, "Все люди рождаются свободными и равными", "人人生而自由,在尊严和权利上一律平等", "def run(batches): for batch in batches: found"]
+    rows = corpus() + [(2000 + i, t, None) for i, t in enumerate(letters + unlearned)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train([(t, lang) for _, t, lang in corpus()]).threshold > 0.5
+    assert {r.doc_id for r in langid.keep_identified(docs).collect()} == set(range(300))
+
+
 def test_model_is_the_same_each_time():
     rows = [(t, lang) for _, t, lang in corpus()]
     a, b = langid.train(rows), langid.train(rows)
