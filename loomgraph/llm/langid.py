@@ -3,7 +3,8 @@
 Subwords are the 2- to 4-byte pieces of the lower-cased words of a text, each word between blanks and
 without ASCII digits or marks.  A text's representation is the mean of its subwords' embeddings; a softmax
 layer gives the languages.  Embeddings and layer are trained together by stochastic gradient descent in
-numpy on a bounded sample of labelled rows (``SAMPLE`` rows, ``SAMPLE_CHARS`` characters each).  A held-out
+numpy on a bounded sample of labelled rows: at most ``SAMPLE`` rows of ``SAMPLE_CHARS`` characters, dealt evenly
+to the labels, and at least ``LABEL_ROWS`` of each label that has so many, so rare ones are learned.  A held-out
 part of the sample sets the softmax temperature, and the rejection threshold: the lowest confidence from
 which the accepted part errs at most ``MOST_ERRORS`` of the time, but at least the one midway, in log-odds,
 between chance and the ``LOW`` quantile of the rightly named part.  So texts in no learned language are
@@ -19,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .workspace import importable_on_workers
 
-SAMPLE, SAMPLE_CHARS = 4_000, 20_000
+SAMPLE, SAMPLE_CHARS, LABEL_ROWS = 4_000, 20_000, 20
 BUCKET_BITS, DIMENSION, EPOCHS, RATE = 15, 16, 6, 0.5
 MOST_ERRORS = 0.01
 LOW = 0.01
@@ -102,7 +103,7 @@ def _least_confidence(right: np.ndarray, k: int) -> float:
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """Fit on (text, language) rows; a fifth of them only calibrates."""
+    """Fit on (text, language) rows; every fifth of a language only calibrates."""
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in rows})
     if not languages:
@@ -110,10 +111,12 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     code = {lang: i for i, lang in enumerate(languages)}
     examples: list[tuple[np.ndarray, np.ndarray, int]] = []
     checks: list[tuple[str, int]] = []
-    for k, (text, lang) in enumerate(rows):
+    met: dict[str, int] = {}
+    for text, lang in rows:
         if not has_letter(text):
             continue
-        if k % 5 == 4:
+        met[lang] = met.get(lang, 0) + 1
+        if met[lang] % 5 == 0:
             checks.append((text, code[lang]))
             continue
         words = text.split()
@@ -155,17 +158,38 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     return model
 
 
+def _quotas(sizes: dict[str, int]) -> dict[str, int]:
+    """Rows of each label: even shares of ``SAMPLE``, what small labels leave goes to the others, ``LABEL_ROWS`` at least."""
+    out, left = {}, SAMPLE
+    for k, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        out[lang] = min(sizes[lang], max(LABEL_ROWS, left // (len(sizes) - k)))
+        left = max(0, left - out[lang])
+    return out
+
+
+def sample(rows: DataFrame) -> list[tuple[str, str]]:
+    """(text, label) of the fit sample of rows (i, t, l), in the order of a hash of the id."""
+    sizes = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}  # one row a label
+    draw = F.pmod(F.xxhash64("i"), F.lit(1_000_000_007))
+    drawn = rows.select(F.substring("t", 1, SAMPLE_CHARS).alias("t"), "l", draw.alias("h"))
+    if sum(sizes.values()) > SAMPLE:
+        quotas = _quotas(sizes)
+        # A hash bound leaves little more than the wanted rows of a label before any row moves.
+        bounds = [(lang, q, int(1_000_000_007 * min(1.0, (1.2 * q + 40) / sizes[lang]))) for lang, q in quotas.items()]
+        wanted = rows.sparkSession.createDataFrame(bounds, "of string, quota int, bound long")
+        drawn = drawn.join(F.broadcast(wanted), (F.col("l") == F.col("of")) & (F.col("h") < F.col("bound")))
+        order = Window.partitionBy("l").orderBy("h", "t")
+        drawn = drawn.withColumn("k", F.row_number().over(order)).where("k <= quota")
+    found = drawn.select("h", "t", "l").collect()
+    return [(r.t, r.l) for r in sorted(found, key=lambda r: (r.h, r.t, r.l))]
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_fold: int | None = None) -> Model:
-    """Train on ``SAMPLE`` labelled rows chosen by a hash of the id; rows of the held-out fold are never read."""
+    """Train on a bounded sample of each label, chosen by a hash of the id; rows of the held-out fold are never read."""
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
     if held_out_fold is not None:
         rows = rows.where(F.coalesce(F.crc32("i") % 4, F.lit(-1)) != held_out_fold)
-    n = rows.count()
-    draw = F.pmod(F.xxhash64("i"), F.lit(1_000_000_007))
-    if n > SAMPLE:
-        rows = rows.where(draw < int(1_000_000_007 * min(1.0, 1.2 * SAMPLE / n)))
-    sample = rows.select(F.substring("t", 1, SAMPLE_CHARS).alias("t"), "l", draw.alias("h")).orderBy("h", "t", "l").limit(SAMPLE).collect()
-    return train([(r.t, r.l) for r in sample])
+    return train(sample(rows))
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:

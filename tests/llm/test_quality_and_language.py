@@ -103,6 +103,16 @@ def test_unlearned_languages_and_random_letters_are_rejected(spark):
     assert {r.doc_id for r in langid.keep_identified(docs).collect()} == set(range(300))
 
 
+def test_rare_labels_are_in_the_sample(spark):
+    spoken = "lo mi nar teo sul", "grk sht pfl tzk bru", "wod vek paj hud quc"
+    lang = lambda i: 2 if i % 4000 == 1 else i % 2
+    rows = spark.range(60_000).selectExpr("cast(id as string) as i", "id").rdd.map(lambda r: (r.i, spoken[lang(r.id)], "xyz"[lang(r.id)])).toDF("i string, t string, l string")
+    n = collections.Counter(lang for _, lang in langid.sample(rows))
+    assert n["z"] == 15 and n["x"] + n["y"] + n["z"] == langid.SAMPLE and abs(n["x"] - n["y"]) <= 1
+    model = langid.train(langid.sample(rows.limit(9000)))
+    assert model.predict("vek hud paj quc wod")[0] == "z"
+
+
 def test_model_is_the_same_each_time():
     rows = [(t, lang) for _, t, lang in corpus()]
     a, b = langid.train(rows), langid.train(rows)
