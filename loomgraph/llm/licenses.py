@@ -122,8 +122,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tex
     lines = known(spark, _notices()).collect()  # a fixed list
     by_digest = F.create_map(*[F.lit(x) for r in lines for x in (r.digest, r.license_id)])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # Every notice has "licen" or "released under" in any spelling: other lines need no digest.
-    likely = F.filter(F.split(text, "\n"), lambda x: F.lower(x).contains("licen") | F.lower(x).contains("released under"))
+    # The canonical form of every notice has "licen" or "released", and no step of it joins letters, so its line has
+    # them too, whatever stands between words: other lines need no digest.
+    likely = F.filter(F.split(text, "\n"), lambda x: F.lower(x).contains("licen") | F.lower(x).contains("released"))
     found = F.filter(F.transform(likely, lambda x: F.try_element_at(by_digest, F.md5(canonical(x)))), lambda x: x.isNotNull())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(canonical(text)).alias("text_digest"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("notices"))
     return rows.join(F.broadcast(whole.withColumnRenamed("digest", "text_digest")), "text_digest", "left").select("doc_id", "text_digest", "license_id", "notices")

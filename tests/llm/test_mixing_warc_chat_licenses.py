@@ -87,6 +87,14 @@ def test_licenses_and_their_sql(spark):
     assert licenses.scan(docs.where("false")).count() == 0
 
 
+def test_notices_in_any_spacing(spark):
+    lines = ["Released  under CC BY 4.0.", "Released\tunder CC0 1.0", "* Released-under: CC BY-SA 4.0 *", "released under MIT Licence", "released"]
+    docs = spark.createDataFrame(list(enumerate(f"a\n{x}\nb" for x in lines)), "doc_id long, text string")
+    assert {r.doc_id: r.notices for r in licenses.scan(docs).collect()} == {0: "CC-BY-4.0", 1: "CC0-1.0", 2: "CC-BY-SA-4.0", 3: "MIT", 4: ""}
+    kept = spark.createDataFrame(licenses._notices(), "spdx string, t string").select(licenses.canonical(F.col("t")).alias("t"))
+    assert kept.where("not (contains(t, 'licen') or contains(t, 'released'))").count() == 0
+
+
 def test_archives_round_trip(spark):
     rows = [(5, "http://www.B.example/x?q=1#f", "same é"), (2, "https://b.example:80/x", "same é"), (9, "http://a.example", None), (4, None, ""), (7, "bad url\r\nWARC-Type: x", "a\r\n\r\nWARC/1.1\r\n"), (None, "http://a.example/n", "same é"), (8, "http://c.example", "z" * 100_000), (5, "http://d.example", "other")]
     pages = spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id long, url string, html string, record_type string").repartition(3)
