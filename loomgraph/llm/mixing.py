@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SEED = "mix-1"
 #: Sizes to the power ``FLATTEN`` give the default weights: 1 keeps the sources' shares, 0 makes them equal.
 FLATTEN = 0.5
+#: Largest mean that is drawn at once.
+PART = 500
 #: Source tables up to this many rows are broadcast (about 100 bytes a row); larger ones are shuffled.
 BROADCAST_SOURCES = 10_000
 
@@ -27,21 +29,18 @@ def _hash52(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def poisson_count(rate: Column, uniform: Column) -> Column:
-    """Smallest k with uniform < P(X <= k) for a Poisson X of the given mean (a null or zero mean: 0).
+def _inverse(rate: Column, uniform: Column) -> Column:
+    """Smallest k with uniform < P(X <= k) for a Poisson X of a mean of at most ``PART``.
 
-    Terms follow from one another; the sum stops at the first k that exceeds the draw.  Means over 500
-    would underflow at the first term; they are split into a fixed part and a remainder.
+    Terms follow from one another; the sum stops at the first k that exceeds the draw.
     """
-    whole = F.floor(F.greatest(rate - 500, F.lit(0.0)))
-    state = F.struct(F.lit(0).alias("k"), F.exp(-(rate - whole)).alias("term"), F.exp(-(rate - whole)).alias("sum"), F.lit(False).alias("done"))
+    state = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"), F.lit(False).alias("done"))
     # The upper tail beyond these copies is under 1e-16, less than one step of the draw.
-    near = F.least(rate, F.lit(501.0))
-    steps = F.sequence(F.lit(1), F.ceil(near + 12 * F.sqrt(near) + 40).cast("int"))
+    steps = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int"))
 
     def step(s: Column, k: Column) -> Column:
         done = s["done"] | (uniform < s["sum"])
-        term = s["term"] * (rate - whole) / k
+        term = s["term"] * rate / k
         return F.struct(
             F.when(done, s["k"]).otherwise(k).alias("k"),
             F.when(done, s["term"]).otherwise(term).alias("term"),
@@ -49,7 +48,24 @@ def poisson_count(rate: Column, uniform: Column) -> Column:
             done.alias("done"),
         )
 
-    return F.when(rate > 0, F.aggregate(steps, state, step, lambda s: s["k"].cast("long")) + whole.cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(steps, state, step, lambda s: s["k"].cast("long"))
+
+
+def poisson_count(rate: Column, uniform: Column) -> Column:
+    """A Poisson draw of the given mean by inversion at a uniform number (a null or zero mean: 0).
+
+    Means over ``PART`` would underflow at the first term; they are sums of draws of equal means up to ``PART``,
+    which is Poisson again, the first at the number itself and the others at numbers hashed from it.
+    """
+    parts = F.ceil(rate / PART).cast("int")
+
+    def own(part: Column) -> Column:
+        return F.when(part == 1, uniform).otherwise(_hash52(F.concat_ws("|", uniform.cast("string"), part.cast("string"))) / F.lit(float(1 << 52)))
+
+    # Hashed before the sums, which would hash anew at each of their steps.
+    numbers = F.transform(F.sequence(F.lit(1), parts), own)
+    many = F.aggregate(numbers, F.lit(0).cast("long"), lambda total, x: total + _inverse(rate / parts, x))
+    return F.when(rate > PART, many).when(rate > 0, _inverse(rate, uniform)).otherwise(F.lit(0).cast("long"))
 
 
 def source_rates(docs: DataFrame, *, weights: DataFrame | None = None, source_col: str = "source", size: Column | None = None, factor: float = 1.0) -> DataFrame:

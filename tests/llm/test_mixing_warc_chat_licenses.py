@@ -34,6 +34,14 @@ def test_poisson_counts_follow_the_distribution(spark):
     assert tuple(k) == (0, 1, 0)
 
 
+def test_large_poisson_counts_follow_the_distribution(spark):
+    u = spark.range(2000).select(((F.col("id") + 0.5) / 2000).alias("u"))
+    for rate in (501.0, 1400.0):
+        mean, var = u.select(mixing.poisson_count(F.lit(rate), F.col("u")).alias("k")).agg(F.avg("k"), F.var_pop("k")).first()
+        assert abs(mean - rate) < 0.01 * rate
+        assert abs(var - rate) < 0.15 * rate
+
+
 @pytest.fixture(scope="module")
 def mixed_docs(spark):
     rows = [(i, f"text {i}", None, "big" if i % 10 else "small" if i % 20 else None, i) for i in range(800)] + [(None, None, None, None, None), (3, "text 3", None, "big", 3)]
