@@ -6,16 +6,20 @@ and links with nothing.  Two documents are linked if 100 * |A & B| >= 75 * |A |
 sets.  With 64 bands of 6 minima a pair at the threshold shares a band with probability 1 - 4e-6.
 
 * Equal sets are one vertex before banding, so copies never meet in a bucket.
-* A bucket's members are first compared with its smallest id only.  After a round of components, just the
-  pairs of a bucket whose ends are still in different components remain; they are compared in blocks of
-  bounded size, first one pair of each two components, at last all.  Together every pair that shares a bucket is either compared or already connected, and no
-  step emits all pairs of a group.
+* A bucket's members are first compared with its smallest id only, and linked ones become components.
+* Documents in a bucket that still holds two components are open.  Their remaining links are between
+  components, and an exact filter finds where those can be: a document's shingles are put into one common
+  order, those that only its own component has first, then rare ones first.  At its i-th shingle of n, a
+  partner whose first common shingle this is has at most 4/3 (more exactly (100 + t) / t) times n - i + 1 less n
+  shingles, and at least t n / 100.  Where that leaves no size, the document is not posted.  Members of a dense
+  group, whose own shingles come first, hardly post at all, so no step emits the pairs of a group.
+* What is posted under one shingle by different components, with sizes that fit both ways, is compared by
+  signature in blocks of bounded size, and by full sets where signatures agree.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .workspace import Workspace, grouped, partitions_for
+from .workspace import Workspace, grouped
 
 WORDS, BANDS, ROWS = 5, 64, 6
 THRESHOLD = 75  # per cent
 #: Signatures must agree as for this similarity: the threshold less four standard errors of 384 minima.
 SIGNATURE_FLOOR = 0.66
+#: Postings of one shingle that are compared at once.
 BLOCK = 512
-#: Documents whose sets one task holds when the remaining candidates are confirmed.
-CHUNK = 1024
+#: Documents of one component whose sets a task holds at once, and others that are held against them there.
+CHUNK, ASKERS = 1024, 8192
 #: Ids of documents to be read again that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Rounds that try one pair of each two components; they only spare the last, complete round work.
-PROMISING_ROUNDS = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -207,124 +210,155 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int, work
     return links
 
 
-def _chunk(doc_id: object, chunks: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % chunks
+#: Rows that one Arrow batch of shingles holds.
+_SLICE = 65_536
 
 
-def _blocks(open_rows: DataFrame, signatures: DataFrame, floor: float, *, chunks: int | None = None) -> DataFrame:
-    """What looks alike across the components of a bucket, compared block by block.
+def _open(open_ids: DataFrame, described: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Open documents: doc_id, component, weight (open members of the component), chunk, n, signature, shingles.
 
-    Without ``chunks``: (a, b), the most alike pair of each two components.  With it, everything, as (a,
-    chunk, others): the alike documents of one chunk in one array, and a row with null others for each document
-    that stands in an array.
+    A chunk holds at most about ``CHUNK`` members of one component.
     """
-    # Ranked by component, a component is one run of ranks; a row meets the blocks that hold other
-    # components, so blocks inside one large component are never compared with each other.
-    in_key = Window.partitionBy("key")
-    rows = open_rows.withColumn("rank", F.row_number().over(in_key.orderBy("component", "doc_id")) - 1)
-    run = Window.partitionBy("key", "component")
-    rows = rows.withColumn("first", F.min("rank").over(run)).withColumn("last", F.max("rank").over(run))
-    rows = rows.withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int")).withColumn("last_block", F.floor((F.col("size") - 1) / BLOCK).cast("int"))
-    below, above = F.ceil(F.col("first") / BLOCK).cast("int") - 1, F.floor((F.col("last") + 1) / BLOCK).cast("int")
-    nothing = F.array().cast("array<int>")
-    met = F.array_union(
-        F.when(below >= 0, F.sequence(F.lit(0), below)).otherwise(nothing),
-        F.when(above <= F.col("last_block"), F.sequence(F.greatest(above, F.lit(0)), F.col("last_block"))).otherwise(nothing),
+    sizes = open_ids.groupBy("component").agg(F.count("*").alias("weight"))
+    chunk = F.xxhash64("component", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("weight") / CHUNK)))
+    placed = open_ids.join(sizes, "component").select("doc_id", "component", "weight", chunk.alias("chunk"))
+    signed = placed.join(described.select("doc_id", "signature"), "doc_id").dropDuplicates(["doc_id"])
+    return signed.join(_sets(_only(docs, open_ids.select("doc_id")), words).dropDuplicates(["doc_id"]), "doc_id").withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
+
+
+def _postings(held: DataFrame, threshold: int) -> DataFrame:
+    """(key, doc_id, component, n, least, most): shingles under which a document can have its first in common with another component, and the partner's sizes there."""
+    kind, of = held.schema["doc_id"].dataType, held.schema["component"].dataType
+    single = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", kind), T.StructField("component", of), T.StructField("n", T.LongType())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.int64)
+            row = np.repeat(np.arange(n.size), n)
+            for at in range(0, keys.size, _SLICE):
+                take = pa.array(row[at : at + _SLICE])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + _SLICE]), *[batch.column(k).take(take) for k in range(3)]], names=single.names)
+
+    spreaded = held.select("doc_id", "component", "n", "shingles").mapInArrow(spread, single)
+    common = spreaded.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("many")).where("x < y").select("key", "many")
+    own = spreaded.join(common, "key").groupBy("doc_id", "component", "n").agg(F.collect_list(F.struct("many", "key")).alias("common"))
+    posting = T.StructType([*single.fields, T.StructField("least", T.LongType()), T.StructField("most", T.LongType())])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, keys, most, least = [], [], [], []
+            for k, (n, shingles) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
+                many, key = (shingles.values.field(f).to_numpy() for f in ("many", "key"))
+                key = key[np.lexsort((key, many))]
+                left = key.size - np.arange(key.size)  # shingles from this one on
+                top = (100 + threshold) * left // threshold - n
+                low = -(-threshold * n // 100)
+                stop = int(np.count_nonzero(top >= low))  # it falls along the order
+                row += [k] * stop
+                keys.append(key[:stop])
+                most.append(top[:stop])
+                least += [low] * stop
+            take = pa.array(row, pa.int64())
+            whole = lambda parts: pa.array(np.concatenate([np.empty(0, dtype=np.int64), *parts]))
+            yield pa.RecordBatch.from_arrays([whole(keys), *[batch.column(c).take(take) for c in range(3)], pa.array(least, pa.int64()), whole(most)], names=posting.names)
+
+    return own.mapInArrow(post, posting)
+
+
+def _blocks(postings: DataFrame) -> DataFrame:
+    """Postings dealt to comparisons: key, i, j and block beside what a posting holds.
+
+    A component with ``BLOCK`` postings or more under a key has blocks of its own, which never meet each other;
+    the small ones share blocks.  A row meets the blocks that can hold other components.
+    """
+    counts = postings.groupBy("key", "component").agg(F.count("*").alias("c"))
+    large = F.col("c") >= BLOCK
+    keys = counts.groupBy("key").agg(
+        F.count("*").alias("components"),
+        F.ceil(F.coalesce(F.sum(F.when(~large, F.col("c"))), F.lit(0)) / BLOCK).alias("shared"),
+        # At most a BLOCK-th of the key's postings.
+        F.collect_list(F.when(large, F.struct(F.col("component").alias("of"), F.ceil(F.col("c") / BLOCK).alias("parts")))).alias("large"),
     )
-    rows = rows.select("key", "doc_id", "component", "block", (F.col("last") - F.col("first") + 1).alias("weight"), F.explode(met).alias("other")).join(signatures.select("doc_id", "signature"), "doc_id")
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "signature", "weight")
+    rows = postings.join(keys.where("components > 1"), "key")
+    code = lambda of, part: -1 - F.pmod(F.xxhash64(of, part), F.lit(1 << 62))
+    parts = F.try_element_at(F.filter("large", lambda x: x["of"] == F.col("component")), F.lit(1))["parts"]
+    block = F.when(parts.isNotNull(), code(F.col("component"), F.pmod(F.xxhash64("doc_id"), parts))).otherwise(F.pmod(F.xxhash64("component"), F.col("shared")))
+    nothing = F.array().cast("array<bigint>")
+    own = F.filter("large", lambda x: x["of"] != F.col("component"))
+    others = F.flatten(F.transform(own, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["parts"] - 1), lambda part: code(x["of"], part))))
+    met = F.array_distinct(F.concat(F.when(F.col("shared") > 0, F.sequence(F.lit(0).cast("long"), F.col("shared") - 1)).otherwise(nothing), others))
+    rows = rows.select("key", "doc_id", "component", "n", "least", "most", block.alias("block"), F.explode(met).alias("other"))
+    return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "n", "least", "most")
+
+
+def _candidates(dealt: DataFrame, held: DataFrame, floor: float) -> DataFrame:
+    """(a, chunk, others): documents of one chunk that look like ``a``; and a row with null others for each document in an array.
+
+    The document of the smaller component asks, so a few stragglers of a large group make a few long arrays
+    and not one array for each member.
+    """
+    keys = ["key", "i", "j"]
+    rows = dealt.join(held.select("doc_id", "weight", "chunk", "signature"), "doc_id").select(*keys, "block", "doc_id", "component", "n", "least", "most", "weight", "chunk", "signature")
     kind = rows.schema["doc_id"].dataType
-    pair = T.StructType([*[T.StructField(c, kind) for c in ("a", "b", "of_a", "of_b")], T.StructField("estimate", T.DoubleType())])
-    packed = T.StructType([T.StructField("a", kind), T.StructField("chunk", T.IntegerType()), T.StructField("others", T.ArrayType(kind))])
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]]:
-        """Per block comparison: its rows, their components, and for each left row the alike right rows."""
-        for table in grouped(batches, ["key", "i", "j"]):
-            batch = table.combine_chunks().to_batches()[0]
-            comp, block = batch.column(5).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
-            i, j = batch.column(1)[0].as_py(), batch.column(2)[0].as_py()
-            m = _matrix(batch.column(6))
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-
-            def each(m=m, comp=comp, left=left, right=right, same=i == j):
-                for k in left.tolist():
-                    at = right[(comp[right] != comp[k]) & ((right > k) | (not same))]
-                    if at.size:
-                        est = _similarity(m[at], m[k])
-                        keep = est >= floor
-                        if keep.any():
-                            yield k, at[keep], est[keep]
-
-            yield batch, comp, each()
-
-    def best_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, comp, found in alike(batches):
-            best: dict[tuple, tuple[float, int, int]] = {}
-            for k, at, est in found:
-                for q, e in zip(at.tolist(), est.tolist(), strict=True):
-                    old = best.get(two := (comp[k], comp[q]))
-                    if old is None or e > old[0]:
-                        best[two] = (e, k, q)
-            if best:
-                e, a, b = zip(*best.values(), strict=True)
-                x, y = pa.array(a), pa.array(b)
-                ids, of = batch.column(4), batch.column(5)
-                yield pa.RecordBatch.from_arrays([ids.take(x), ids.take(y), of.take(x), of.take(y), pa.array(e)], names=pair.names)
+    packed = T.StructType([T.StructField("a", kind), T.StructField("chunk", T.LongType()), T.StructField("others", T.ArrayType(kind))])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, found in alike(batches):
+        for table in grouped(batches, keys):
+            batch = table.combine_chunks().to_batches()[0]
+            i, j, block, n, least, most, weight, chunk = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("i", "j", "block", "n", "least", "most", "weight", "chunk"))
+            of = batch.column(5).dictionary_encode().indices.to_numpy()
+            left, right = np.flatnonzero(block == i[0])[:, None], np.flatnonzero(block == j[0])[None, :]
+            fits = (of[left] != of[right]) & (n[right] >= least[left]) & (n[right] <= most[left]) & (n[left] >= least[right]) & (n[left] <= most[right])
+            if i[0] == j[0]:
+                fits &= left < right
+            x, y = np.nonzero(fits)
+            if not x.size:
+                continue
+            x, y = left[x, 0], right[0, y]
+            m = _matrix(batch.column(11))
+            alike = np.concatenate([_similarity(m[x[k : k + _SLICE // 8]], m[y[k : k + _SLICE // 8]]) for k in range(0, x.size, _SLICE // 8)]) >= floor
             ids = batch.column(4)
-            names, weight = ids.to_pylist(), batch.column(7).to_numpy()
-            # The document of the smaller component asks, so a few stragglers of a large group make a few
-            # long arrays and not one array for each member.
+            names = ids.to_pylist()
             by: dict[tuple[int, int], list] = {}
             used = set()
-            for k, at, _ in found:
-                for q in at.tolist():
-                    a, b = (q, k) if weight[q] < weight[k] else (k, q)
-                    used.add(b)
-                    by.setdefault((a, _chunk(names[b], chunks)), []).append(names[b])
-            a, chunk, others = [names[k] for k, _ in by], [c for _, c in by], list(by.values())
-            for q in used:
-                a.append(names[q])
-                chunk.append(_chunk(names[q], chunks))
-                others.append(None)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, ids.type), pa.array(chunk, pa.int32()), pa.array(others, pa.list_(ids.type))], names=packed.names)
-
-    keys = ["key", "i", "j"]
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "component", "doc_id")
-    if chunks:
-        return dealt.mapInArrow(lists, packed)
-    out = dealt.mapInArrow(best_pairs, pair).groupBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).agg(F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("pair")).select("pair.*")
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _confirm_lists(packed: DataFrame, parts: DataFrame, docs: DataFrame, words: int, threshold: int, workspace: Workspace, name: str) -> DataFrame:
+            for p, q in zip(x[alike].tolist(), y[alike].tolist(), strict=True):
+                a, b = (q, p) if (weight[q], names[q]) < (weight[p], names[p]) else (p, q)
+                used.add(b)
+                by.setdefault((a, int(chunk[b])), []).append(names[b])
+            if by:
+                askers, chunks, others = [names[k] for k, _ in by], [c for _, c in by], list(by.values())
+                for q in used:
+                    askers.append(names[q])
+                    chunks.append(int(chunk[q]))
+                    others.append(None)
+                yield pa.RecordBatch.from_arrays([pa.array(askers, ids.type), pa.array(chunks, pa.int64()), pa.array(others, pa.list_(ids.type))], names=packed.names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "component", "doc_id").mapInArrow(lists, packed)
+
+
+def _confirm_lists(packed: DataFrame, held: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) found in packed candidates, one for each document and component it links with.
 
-    A chunk's task holds the sets of the chunk's documents (about ``CHUNK``) and streams the arrays past
-    them, so no row is made for a pair.
+    A task holds the sets of a chunk's documents (about ``CHUNK``) and streams the arrays past them, at most
+    about ``ASKERS`` of them, so no row is made for a pair and a set travels once for each component it is held against.
     """
-    packed = workspace.stage(packed, f"{name}-packed")
-    if packed.isEmpty():
-        return packed.select("a", F.col("a").alias("b"))
-    involved = packed.select(F.col("a").alias("doc_id")).distinct()
-    full = workspace.stage(_sets(_only(docs, involved), words).dropDuplicates(["doc_id"]), f"{name}-sets")
+    asked = packed.where("others is not null").groupBy("a", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    salts = asked.groupBy("chunk").agg(F.ceil(F.count("*") / ASKERS).alias("salts"))
+    lent = packed.where("others is null").select("a", "chunk").distinct().join(salts, "chunk").select("a", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("turn"), F.lit(None).cast(packed.schema["others"].dataType).alias("others"))
+    asking = asked.join(salts, "chunk").select("a", "chunk", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(1).alias("turn"), "others")
+    rows = lent.unionByName(asking).join(held.select(F.col("doc_id").alias("a"), "component", "shingles"), "a").select("chunk", "salt", "turn", "a", "component", "others", "shingles")
+    rows = rows.repartition("chunk", "salt").sortWithinPartitions("chunk", "salt", "turn", "a")
     kind = packed.schema["a"].dataType
-    shingles = full.select(F.col("doc_id").alias("a"), "shingles")
-    held = packed.where("others is null").select("a", "chunk").distinct().join(parts.select(F.col("id").alias("a"), F.col("component")), "a", "left").select("a", "chunk", F.lit(0).alias("turn"), F.coalesce("component", "a").alias("component"), F.lit(None).cast(packed.schema["others"].dataType).alias("others"))
-    asked = packed.where("others is not null").groupBy("a", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")).select("a", "chunk", F.lit(1).alias("turn"), F.lit(None).cast(kind).alias("component"), "others")
-    rows = held.unionByName(asked).join(shingles, "a").select("chunk", "turn", "a", "component", "others", "shingles").repartition("chunk").sortWithinPartitions("chunk", "turn", "a")
     linked = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets = None, {}
         for batch in batches:
             x, y = [], []
-            for chunk, turn, a, component, others, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if chunk != now:
-                    now, sets = chunk, {}
+            for chunk, salt, turn, a, component, others, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (chunk, salt) != now:
+                    now, sets = (chunk, salt), {}
                 own = np.frombuffer(data, dtype=np.uint64)
                 if turn == 0:
                     sets[a] = (component, own)
@@ -339,9 +373,9 @@ def _confirm_lists(packed: DataFrame, parts: DataFrame, docs: DataFrame, words:
                         done.add(component)
                         x.append(a)
                         y.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, batch.column(2).type), pa.array(y, batch.column(2).type)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, batch.column(3).type), pa.array(y, batch.column(3).type)], names=["a", "b"])
 
-    return workspace.stage(rows.mapInArrow(confirm, linked), f"{name}-links")
+    return rows.mapInArrow(confirm, linked)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -365,38 +399,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = workspace.stage(buckets.join(ends.select("key", "center", "size"), "key"), "shared")
     star = workspace.stage(_alike(shared.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), described, floor), "star")
 
-    # First each vertex's most promising centre, then the most promising pair of each two components that
-    # share a bucket, and at last every pair that could still join two components.
+    # Each vertex's most promising centre first.
     first = _confirm(star.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")), docs, words, threshold, workspace, "first")
     parts = connected_components(first, workspace, "parts")
 
-    def joined(links: DataFrame, parts: DataFrame, name: str) -> DataFrame | None:
-        if links.isEmpty():
-            return None
-        return connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b")), workspace, name)
-
-    def still_open(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows of the buckets with two components or more, and star pairs between components."""
-        of = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
-        placed = shared.join(of("doc_id"), "doc_id", "left").select("key", "doc_id", "size", F.coalesce("of_doc_id", "doc_id").alias("component"))
-        split = placed.where("size > 2").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-        pairs = star.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-        return placed.join(split.select("key"), "key", "left_semi"), pairs
-
-    for k in range(PROMISING_ROUNDS):
-        pairs = _blocks(still_open(parts)[0], described, floor)
-        merged = joined(_confirm(pairs, docs, words, threshold, workspace, f"best-{k}"), parts, f"best-{k}-parts")
-        if merged is None:
-            break
-        parts = merged
-    open_rows, pairs = still_open(parts)
-    chunks = partitions_for(spark, open_rows.select("doc_id").distinct().count(), CHUNK)
-    chunk_of = lambda c: F.pmod(F.crc32(F.col(c).cast("string")), F.lit(chunks)).cast("int")
-    packed = _blocks(open_rows, described, floor, chunks=chunks)
-    packed = packed.unionByName(pairs.select("a", chunk_of("b").alias("chunk"), F.array("b").alias("others")))
-    packed = packed.unionByName(pairs.select(F.col("b").alias("a"), chunk_of("b").alias("chunk"), F.lit(None).cast(packed.schema["others"].dataType).alias("others")))
-    rest = _confirm_lists(packed, parts, docs, words, threshold, workspace, "rest")
-    parts = joined(rest, parts, "rest-parts") or parts
+    # Open documents: in a bucket of two components or more, or in a star pair between components.
+    of = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    placed = shared.where("size > 2").join(of("doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("of_doc_id", "doc_id").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    pairs = star.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
+    ends_of_pairs = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("of_a").alias("component")), F.struct(F.col("b").alias("doc_id"), F.col("of_b").alias("component")))).alias("end")).select("end.*")
+    open_ids = workspace.stage(placed.join(split.select("key"), "key", "left_semi").select("doc_id", "component").unionByName(ends_of_pairs).distinct(), "open")
+    workspace.drop("shared")
+
+    if not open_ids.isEmpty():
+        held = workspace.stage(_open(open_ids, described, docs, words), "held")
+        postings = workspace.stage(_postings(held, threshold), "postings")
+        packed = workspace.stage(_candidates(_blocks(postings), held, floor), "packed")
+        rest = workspace.stage(_confirm_lists(packed, held, threshold), "rest")
+        for name in ("postings", "packed", "held"):
+            workspace.drop(name)
+        if not rest.isEmpty():
+            parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest), workspace, "rest-parts")
 
     of_rep = equal.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return (

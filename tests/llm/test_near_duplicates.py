@@ -70,7 +70,6 @@ def test_components_as_by_brute_force(spark, seed):
 def test_a_dense_group_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     monkeypatch.setattr(minhash, "CHUNK", 16)
-    monkeypatch.setattr(minhash, "PROMISING_ROUNDS", 0)
     rng = random.Random(5)
     vocab = [f"w{k}" for k in range(300)]
     base = [rng.choice(vocab) for _ in range(100)]
