@@ -106,18 +106,25 @@ class _Memo(dict):
 
 
 class TextEncoder:
-    """Ids of whole texts as numpy arrays; special tokens' strings in a text are ordinary text."""
+    """Ids of whole texts as numpy arrays, as ``encode(text, add_special_tokens=False)`` of the file's tokenizer gives them.
+
+    So the string of a special token in a text is that token; such texts are encoded uncut.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
         self.item = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             self.cut = _cut_rule(json.load(f))
+        added = self.library.get_added_tokens_decoder().values()
+        if any(t.normalized for t in added):  # found in normalised text only
+            self.cut = None
+        # Parts are folded before they are looked up, so a folded string must not be met there either.
+        self.special = [t.content.encode().lower() for t in added]
         kind = "H" if self.item.itemsize == 2 else "I"
         self.bare = _Memo(self.library, kind, "", self.cut == "white space")
         if self.cut == "before spaces":
@@ -137,7 +144,7 @@ class TextEncoder:
         for i, data in enumerate(texts):
             if not data:
                 out[i] = np.empty(0, dtype=self.item)
-            elif not self.cut or (self.cut == "before spaces" and _spaced_out(data)):
+            elif not self.cut or (self.cut == "before spaces" and _spaced_out(data)) or self._names_special(data):
                 out[i] = np.array(self.library.encode(data.decode(), add_special_tokens=False).ids, dtype=self.item)
             else:
                 at.append(i)
@@ -149,6 +156,10 @@ class TextEncoder:
             self._group(texts, at, out)
         return out
 
+    def _names_special(self, data: bytes) -> bool:
+        folded = data.lower()
+        return any(x in folded for x in self.special)
+
     def _group(self, texts: list[bytes], at: list[int], out: list) -> None:
         """Look up the parts of some texts together and deal the ids out again."""
         joined = b" ".join([texts[i] for i in at])
