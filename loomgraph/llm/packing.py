@@ -1,27 +1,32 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
-Method: bulk-synchronous best fit.  Documents (cut into pieces of at most ``capacity`` ids) are sorted
-by length, and in every superstep the longest remaining pieces (all within a hundredth of the longest) look
-for their successor: the smallest open gap that holds them.  Where more pieces want a gap size than gaps
-of that size exist, they are served by rank, longest first; the rest wait for the next superstep, after
-the gaps have been updated.  Pieces longer than every gap open new sequences.
-
-Pieces of one length and gaps of one size are interchangeable, so supersteps work on the run-length
-encoding of the two sorted orders: at most ``capacity`` runs of pieces, and gap runs of sequences with
-equal free space.  That encoding does not grow with the corpus; it is all the driver ever sees.  The rows
-stay distributed: they are range-sorted by length, ranked within their length from per-partition
-counts, and each finds its place from its rank.
+Method: bulk-synchronous best fit over two distributed tables, the pieces that wait (documents, cut into
+pieces of at most ``capacity`` ids) and the gaps (open sequences with their free space).  A superstep:
+
+* The longest waiting pieces (down to ``CLASS`` of the longest) and the gaps that hold any of them are
+  range-sorted together by size.
+* Successor sweep: going up the sizes, a gap takes the largest piece before it that no smaller gap took; a
+  gap with room for several of the longest takes several.  That is the matching of brackets, pieces opening
+  and gaps closing them.  Every range is swept by its own task; what it leaves are gaps, then pieces.
+* Conflicts between ranges are resolved by rank: from the two numbers that each range leaves, the driver
+  matches the gaps left over in one range with the pieces left over in ranges below, in the same bracket
+  order, as intervals of ranks.  Those are at most two rows a range; the rows themselves find their partner by a join.
+* Gaps are updated.  Pieces longer than every gap open sequences: each one over half the capacity, and of the
+  others as many as their ids fill, the longest first.
+* Repeat, until no piece waits.  Once pieces and gaps fit into one range, its task goes on by itself:
+  the supersteps are the same, and so is the result.
+
+A sequence has the number of the piece that opened it.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +35,10 @@ from .workspace import Workspace, partitions_for
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-ROWS_PER_PARTITION = 250_000
+#: Pieces and gaps to a range, in one task.
+RANGE_ROWS = 500_000
+#: A superstep takes the pieces of at least this share (4/5) of the longest one's length.
+CLASS = (4, 5)
 
 
 def piece_schema(id_type: T.DataType) -> T.StructType:
@@ -75,136 +83,238 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None =
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
 
 
-class Plan:
-    """Where each rank of each length goes: intervals sorted by (length, first rank)."""
+def sweep(is_gap: list[int], slots: list[int]) -> tuple[list[int], list[int], list[int], list[tuple[int, int]]]:
+    """Bracket matching of entries sorted by size, pieces before gaps of their size.
 
-    def __init__(self, steps: list[tuple[int, int, int, int]], sequences: int, supersteps: int) -> None:
-        steps = sorted(steps)
-        self.length, self.rank, self.sequence, self.offset = (np.array([s[k] for s in steps], dtype=np.int64) for k in range(4))
-        self.sequences, self.supersteps = sequences, supersteps
-        used, self.first = np.unique(self.length, return_index=True)
-        self.at = {int(n): k for k, n in enumerate(used)}
-
-    def place(self, length: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = self.at[length]
-        a = self.first[k]
-        b = self.first[k + 1] if k + 1 < self.first.size else self.length.size
-        j = a + np.searchsorted(self.rank[a:b], rank, side="right") - 1
-        return self.sequence[j] + rank - self.rank[j], self.offset[j]
-
-
-def supersteps(counts: dict[int, int], capacity: int) -> Plan:
-    """Match runs of equally long pieces with runs of equally large gaps until no piece is left.
-
-    ``counts`` has the number of pieces of each length.  A gap run is (first sequence, sequences); its
-    pieces go at offset ``capacity - gap``.
+    Gives the matched pieces and their gaps, the pieces left over (ascending), and the gaps left over with
+    their free slots; all as places in the input.
     """
-    left = {n: c for n, c in counts.items() if c}
-    if any(n < 1 or n > capacity for n in left):
-        raise ValueError("piece lengths must be between 1 and the capacity")
-    rank = dict.fromkeys(left, 0)
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    steps: list[tuple[int, int, int, int]] = []
-    opened = rounds = 0
-
-    def put(n: int, gap: int, first: int, count: int, into: dict[int, list[tuple[int, int]]]) -> None:
-        steps.append((n, rank[n], first, capacity - gap))
-        rank[n] += count
-        left[n] -= count
-        if gap > n:
-            into.setdefault(gap - n, []).append((first, count))
-
-    while left:
-        rounds += 1
-        sizes = sorted(gaps)
-        changed: dict[int, list[tuple[int, int]]] = {}
-        orphans = []
-        longest = max(left)
-        active = [n for n in left if 100 * n >= 99 * longest]
-        for n in sorted(active, reverse=True):  # by rank: the longest first
-            k = bisect_left(sizes, n)
-            if k == len(sizes):
-                orphans.append(n)
-                continue
-            runs = gaps[sizes[k]]
-            while runs and left[n]:
-                first, count = runs.pop()
-                take = min(count, left[n])
-                put(n, sizes[k], first, take, changed)
-                if take < count:
-                    runs.append((first + take, count - take))
-        # What no gap holds opens sequences: one for each piece over half the capacity, and for the
-        # others as many as their ids fill, to the longest of them; the rest then see the new gaps.
-        small = sum(n * left[n] for n in orphans if 2 * n <= capacity)
-        quota = -(-small // capacity)
-        for n in orphans:
-            take = left[n] if 2 * n > capacity else min(left[n], quota)
-            if 2 * n <= capacity:
-                quota -= take
-            if take:
-                put(n, capacity, opened, take, changed)
-                opened += take
-        for gap, runs in changed.items():
-            gaps.setdefault(gap, []).extend(runs)
-        gaps = {g: r for g, r in gaps.items() if r}
-        left = {n: c for n, c in left.items() if c}
-    return Plan(steps, opened, rounds)
+    stack: list[int] = []
+    pieces: list[int] = []
+    gaps: list[int] = []
+    spare: list[tuple[int, int]] = []
+    for k, gap in enumerate(is_gap):
+        if not gap:
+            stack.append(k)
+            continue
+        n = slots[k]
+        taken = stack[-n:]
+        if taken:
+            del stack[-n:]
+            pieces += taken
+            gaps += [k] * len(taken)
+        if len(taken) < n:
+            spare.append((k, n - len(taken)))
+    return pieces, gaps, stack, spare
+
+
+def carry(left: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
+    """Match what ranges leave over: (range, slots, pieces) in ascending order of size.
+
+    Gives intervals (pieces' range, first rank, end rank, gaps' range, first slot), the piece of the highest rank
+    taking the first slot; and how many pieces stay in each range, the lowest ranks.
+    """
+    stack: list[list[int]] = []
+    out = []
+    for part, slots, pieces in left:
+        at = 0
+        while at < slots and stack:
+            below = stack[-1]
+            n = min(slots - at, below[1])
+            out.append((below[0], below[1] - n, below[1], part, at))
+            at += n
+            below[1] -= n
+            if not below[1]:
+                stack.pop()
+        if pieces:
+            stack.append([part, pieces])
+    return out, dict(map(tuple, stack))
+
+
+def openings(over_half: int, others: int, ids_of_others: int, capacity: int) -> int:
+    """How many of the pieces that no gap holds open a sequence."""
+    return over_half + min(others, -(-ids_of_others // capacity))
+
+
+def finish(ids: np.ndarray, length: np.ndarray, sequence: np.ndarray, free: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All remaining supersteps over one range of pieces and gaps: (piece, sequence, offset) of every piece."""
+    placed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    order = np.lexsort((ids, length))
+    ids, length = ids[order], length[order]
+    while ids.size:
+        longest = int(length[-1])
+        least = _least(longest)
+        low = int(np.searchsorted(length, least))
+        use = np.flatnonzero(free >= least)
+        use = use[np.lexsort((sequence[use], free[use]))]
+        # Entries in the order of (size, pieces first): where each gap comes among the pieces.
+        at = np.searchsorted(length[low:], free[use], side="right")
+        n = length.size - low
+        place = np.concatenate([np.arange(n) + np.searchsorted(free[use], length[low:], side="left"), at + np.arange(use.size)])
+        entry = np.empty(n + use.size, dtype=np.int64)
+        entry[place] = np.arange(n + use.size)
+        entry = entry[: int(place[n - 1]) + 1 + n]  # behind the last piece, at most one gap for each piece is of use
+        is_gap = entry >= n
+        slots = np.ones(entry.size, dtype=np.int64)
+        slots[is_gap] = np.maximum(1, free[use[entry[is_gap] - n]] // longest)
+        pieces, gaps, rest, _ = sweep(is_gap.tolist(), slots.tolist())
+        got, by = entry[pieces] + low, use[entry[gaps] - n]
+        left = np.concatenate([np.arange(low), entry[rest] + low])
+        if got.size:
+            # A gap's pieces of this superstep stand together: longest first, as everywhere.
+            first = np.lexsort((ids[got], -length[got], by))
+            got, by = got[first], by[first]
+            upto = np.cumsum(length[got]) - length[got]
+            start = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+            placed.append((ids[got], sequence[by], capacity - free[by] + upto - np.repeat(upto[start], np.diff([*start, by.size]))))
+            free = free - np.bincount(by, length[got], free.size).astype(np.int64)
+        most = int(free.max()) if free.size else 0
+        waiting = left[low:][length[left[low:]] > most]
+        if waiting.size:
+            half = 2 * length[waiting] > capacity
+            k = openings(int(half.sum()), int((~half).sum()), int(length[waiting[~half]].sum()), capacity)
+            new = waiting[waiting.size - k :]
+            placed.append((ids[new], ids[new], np.zeros(k, dtype=np.int64)))
+            sequence, free = np.concatenate([sequence, ids[new]]), np.concatenate([free, capacity - length[new]])
+            left = left[: left.size - k]
+        ids, length = ids[left], length[left]
+        if ids.size:
+            keep = free >= length[0]
+            sequence, free = sequence[keep], free[keep]
+    if not placed:
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(3))
+    return tuple(np.concatenate(x) for x in zip(*placed, strict=True))
+
+
+def _least(longest: int) -> int:
+    """The shortest piece that takes part in a superstep."""
+    return -(-CLASS[0] * longest // CLASS[1])
+
+
+_SWEPT = "part int, role int, piece long, length long, sequence long, free long, rank long, slots long"
+
+
+def _swept(entries: DataFrame) -> DataFrame:
+    """Sweep each range: matches (role 0), pieces left over with their rank (1), gaps left over with their first slot and slots (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        size, gap, ident, slots, part = (np.concatenate([np.empty(0, dtype=np.int64), *[b.column(k).to_numpy() for b in held]]) for k in range(5))
+        if not size.size:
+            return
+        pieces, gaps, rest, spare = (np.array(x, dtype=np.int64) for x in sweep(gap.tolist(), slots.tolist()))
+        spare = spare.reshape(-1, 2)
+        none = lambda n: pa.nulls(n, pa.int64())
+        arr = lambda x: pa.array(x.astype(np.int64))
+        for role, n, columns in (
+            (0, pieces.size, [arr(ident[pieces]), arr(size[pieces]), arr(ident[gaps]), arr(size[gaps]), none(pieces.size), none(pieces.size)]),
+            (1, rest.size, [arr(ident[rest]), arr(size[rest]), none(rest.size), none(rest.size), arr(np.arange(rest.size)), none(rest.size)]),
+            (2, len(spare), [none(len(spare)), none(len(spare)), arr(ident[spare[:, 0]]), arr(size[spare[:, 0]]), arr(np.cumsum(spare[:, 1]) - spare[:, 1]), arr(spare[:, 1])]),
+        ):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part[0], dtype=np.int32)), pa.array(np.full(n, role, dtype=np.int32)), *columns], names=[x.split()[0] for x in _SWEPT.split(", ")])
+
+    return entries.mapInArrow(run, _SWEPT)
+
+
+def _superstep(waiting: DataFrame, gaps: DataFrame, longest: int, entries: int, capacity: int, workspace: Workspace, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One distributed superstep: what is placed, what waits, and the gaps after it."""
+    spark = waiting.sparkSession
+    least = _least(longest)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    rows = waiting.where(F.col("length") >= least).select(F.col("length").alias("size"), zero.alias("gap"), F.col("pack_id").alias("ident"), one.alias("slots"))
+    rows = rows.unionByName(gaps.where(F.col("free") >= least).select(F.col("free").alias("size"), one.alias("gap"), F.col("sequence_id").alias("ident"), F.greatest(one, F.expr(f"free div {longest}")).alias("slots")))
+    order = ["size", "gap", "ident"]
+    ranged = rows.repartitionByRange(partitions_for(spark, entries, RANGE_ROWS), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
+    swept = workspace.stage(_swept(ranged), f"{name}-swept")
+
+    # Two numbers for each range, and at most two intervals for each.
+    met = swept.groupBy("part").agg(F.coalesce(F.sum(F.when(F.col("role") == 2, F.col("slots"))), zero).alias("slots"), F.count(F.when(F.col("role") == 1, 1)).alias("pieces")).collect()
+    links, stay = carry(sorted(tuple(r) for r in met))
+    taken: dict[int, int] = {}
+    for _, lo, hi, part, at in links:
+        taken[part] = max(taken.get(part, 0), at + hi - lo)
+    table = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))
+    left = swept.where("role = 1").select("part", "piece", "length", "rank")
+    asking = left.join(table(links, "of int, lo long, hi long, part_of_gap int, at long"), F.expr("part = of and rank >= lo and rank < hi")).select("piece", "length", "part_of_gap", F.expr("at + hi - 1 - rank").alias("slot"))
+    spare = swept.where("role = 2").join(table(list(taken.items()), "of int, taken long"), F.expr("part = of and rank < taken"))
+    spare = spare.select(F.col("part").alias("part_of_gap"), "sequence", "free", F.explode(F.expr("sequence(rank, least(rank + slots, taken) - 1)")).alias("slot"))
+    matched = swept.where("role = 0").select("piece", "length", "sequence", "free").unionByName(asking.join(spare, ["part_of_gap", "slot"]).select("piece", "length", "sequence", "free"))
+    before = Window.partitionBy("sequence").orderBy(F.col("length").desc(), "piece").rowsBetween(Window.unboundedPreceding, -1)  # a sequence has at most `capacity` pieces
+    placed = workspace.stage(matched.select(F.col("piece").alias("pack_id"), F.col("sequence").alias("sequence_id"), (capacity - F.col("free") + F.coalesce(F.sum("length").over(before), zero)).alias("offset"), "length"), f"{name}-placed")
+    used = placed.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+    gaps = gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("free") - F.coalesce("used", zero)).alias("free")).where("free > 0")
+    gaps = workspace.stage(gaps, f"{name}-gaps")
+
+    # The pieces left over are ranked over all ranges, so the longest of them can be named by rank.
+    below, rows = 0, []
+    for part, n in sorted(stay.items()):
+        rows.append((part, n, below))
+        below += n
+    left = left.join(table(rows, "of int, stay long, below long"), F.expr("part = of and rank < stay")).select("piece", "length", (F.col("below") + F.col("rank")).alias("rank"))
+    most = gaps.agg(F.max("free")).first()[0] or 0
+    half = 2 * F.col("length") > capacity
+    over, others, ids = left.where(F.col("length") > most).agg(F.count(F.when(half, 1)), F.count(F.when(~half, 1)), F.coalesce(F.sum(F.when(~half, F.col("length"))), zero)).first()
+    first_new = below - openings(over, others, ids, capacity)
+    new = left.where(F.col("rank") >= first_new)
+    placed = placed.select("pack_id", "sequence_id", "offset").unionByName(new.select(F.col("piece").alias("pack_id"), F.col("piece").alias("sequence_id"), zero.alias("offset")))
+    gaps = gaps.unionByName(new.select(F.col("piece").alias("sequence_id"), (capacity - F.col("length")).alias("free")))
+    waiting = waiting.where(F.col("length") < least).unionByName(left.where(F.col("rank") < first_new).select(F.col("piece").alias("pack_id"), "length"))
+    return placed, waiting, gaps
+
+
+def _finished(waiting: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
+    both = waiting.select(F.lit(0).alias("gap"), F.col("pack_id").alias("ident"), F.col("length").alias("size")).unionByName(gaps.select(F.lit(1).alias("gap"), F.col("sequence_id").alias("ident"), F.col("free").alias("size")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        gap, ident, size = (np.concatenate([np.empty(0, dtype=np.int64), *[b.column(k).to_numpy() for b in held]]).astype(np.int64) for k in range(3))
+        out = finish(ident[gap == 0], size[gap == 0], ident[gap == 1], size[gap == 1], capacity)
+        for at in range(0, out[0].size, 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65_536]) for x in out], names=["pack_id", "sequence_id", "offset"])
+
+    # At most RANGE_ROWS rows of 20 bytes.
+    return both.repartition(1).mapInArrow(run, "pack_id long, sequence_id long, offset long")
 
 
 def pack(rows: DataFrame, workspace: Workspace, *, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows of known length (1 to ``capacity``).
+    """Add ``sequence_id`` and ``offset`` to rows of known length (1 to ``capacity``; others, nulls included, raise ValueError).
 
     Every row is placed; sequences are gapless from offset 0 and never exceed ``capacity``.  Equal rows
-    are separate pieces.  An empty input gives an empty result.
+    are separate pieces; ties in length go by their place in the written table.  An empty input gives an empty
+    result.  The rows' own columns must not be named pack_id, sequence_id or offset.
     """
-    rows = workspace.stage(rows, "pieces")
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(length_col).alias("n")).count().collect()}  # at most `capacity` rows
-    plan = supersteps(counts, capacity)
-    order = [F.col(length_col).desc(), *[F.col(c) for c in rows.columns if c != length_col]]
-    parts = partitions_for(rows.sparkSession, sum(counts.values()), ROWS_PER_PARTITION)
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("pack_part", F.spark_partition_id())
-    ranged = workspace.stage(ranged.transform(lambda d: _rank_in_part(d, length_col)), "ranged")
-    # Lengths are contiguous over partitions: at most `capacity` rows and one more for each partition.
-    met = ranged.groupBy("pack_part", F.col(length_col).alias("n")).agg(F.count("*").alias("c")).collect()
-    base: dict[tuple[int, int], int] = {}
-    seen: dict[int, int] = {}
-    for part, n, c in sorted(met):
-        base[part, n] = seen.get(n, 0)
-        seen[n] = base[part, n] + c
-    shared = rows.sparkSession.sparkContext.broadcast((plan, base))
     kept = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, base = shared.value
-        for batch in batches:
-            n, part, k = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (length_col, "pack_part", "pack_rank"))
-            sequence, offset = np.empty(n.size, dtype=np.int64), np.empty(n.size, dtype=np.int64)
-            for p, size in {*zip(part.tolist(), n.tolist(), strict=True)}:
-                at = np.flatnonzero((n == size) & (part == p))
-                sequence[at], offset[at] = plan.place(size, k[at] + base[p, size])
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(sequence), pa.array(offset)], names=schema.names)
-
-    return ranged.mapInArrow(place, schema)
-
-
-def _rank_in_part(rows: DataFrame, length_col: str) -> DataFrame:
-    schema = T.StructType([*rows.schema.fields, T.StructField("pack_rank", T.LongType())])
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, count = None, 0
-        for batch in batches:
-            n = batch.column(batch.schema.get_field_index(length_col)).to_numpy(zero_copy_only=False)
-            out = np.empty(n.size, dtype=np.int64)
-            edges = [0, *(np.flatnonzero(n[1:] != n[:-1]) + 1).tolist(), n.size] if n.size else []
-            for a, b in zip(edges, edges[1:], strict=False):
-                if n[a] != last:
-                    last, count = n[a], 0
-                out[a:b] = np.arange(count, count + b - a)
-                count += b - a
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=schema.names)
-
-    return rows.mapInArrow(rank, schema)
+    rows = workspace.stage(rows.withColumn("pack_id", F.monotonically_increasing_id()), "pieces")
+    length = F.col(length_col).cast("long")
+    wrong = rows.where(length.isNull() | (length < 1) | (length > capacity)).limit(1).count()
+    if wrong:
+        raise ValueError("piece lengths must be between 1 and the capacity")
+    whole = rows.where(length == capacity)
+    placed = [whole.select("pack_id", F.col("pack_id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    waiting = rows.where(length < capacity).select("pack_id", length.alias("length"))
+    gaps = waiting.where("false").select(F.col("pack_id").alias("sequence_id"), F.col("length").alias("free"))
+    step = 0
+    while True:
+        n, shortest, longest = waiting.agg(F.count("*"), F.min("length"), F.max("length")).first()
+        if not n:
+            break
+        gaps = gaps.where(F.col("free") >= shortest)
+        entries = n + gaps.count()
+        if entries <= RANGE_ROWS:
+            placed.append(_finished(waiting, gaps, capacity))
+            break
+        step += 1
+        done, waiting, gaps = _superstep(waiting, gaps, longest, entries, capacity, workspace, f"step-{step}")
+        placed.append(workspace.stage(done, f"step-{step}-done"))
+        waiting, gaps = workspace.stage(waiting, f"step-{step}-waiting"), workspace.stage(gaps, f"step-{step}-open")
+        for name in ("swept", "placed", "gaps"):
+            workspace.drop(f"step-{step}-{name}")
+        for name in ("waiting", "open"):
+            workspace.drop(f"step-{step - 1}-{name}")
+    places = placed[0]
+    for more in placed[1:]:
+        places = places.unionByName(more)
+    return rows.join(places, "pack_id").select(*kept, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,8 @@ from hypothesis import strategies as st
 from loomgraph.llm import packing, tokens, tokenstore
 from loomgraph.llm.workspace import Workspace
 
+from run_length_plan import supersteps
+
 TEXTS = [(1, "Hello, it's a test.\nNew  line"), (2, None), (3, ""), (4, "word " * 5000), (4, "word " * 5000), (5, "é über\tcafé"), (None, "no id"), (6, "x" * 20000), (7, " lead and trail "), (8, "a <|endoftext|> b"), (9, "x<|EndOfText|>y <|startoftext|>")]
 
 
@@ -71,7 +73,7 @@ def first_fit_decreasing(lengths, capacity):
 @given(st.lists(st.integers(1, 64), max_size=120))
 def test_supersteps_place_each_rank_once_and_need_few_sequences(lengths):
     counts = {n: lengths.count(n) for n in set(lengths)}
-    plan = packing.supersteps(counts, 64)
+    plan = supersteps(counts, 64)
     taken = set()
     for n, c in counts.items():
         sequence, offset = plan.place(n, np.arange(c))
@@ -83,6 +85,89 @@ def test_supersteps_place_each_rank_once_and_need_few_sequences(lengths):
     assert {s for s, _ in taken} == set(range(plan.sequences))
 
 
+def best_fit_brackets(is_gap, slots):
+    """The sweep's rule, entry by entry: a gap takes the largest free pieces before it."""
+    free, matched = [], []
+    for k, gap in enumerate(is_gap):
+        if not gap:
+            free.append(k)
+        else:
+            for _ in range(min(slots[k], len(free))):
+                matched.append((free.pop(), k))
+    return matched, free
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.integers(1, 3)), max_size=60), st.lists(st.integers(0, 60), max_size=5))
+def test_sweeps_of_ranges_and_their_carry_are_one_sweep(entries, cuts):
+    is_gap, slots = [int(g) for g, _ in entries], [n for _, n in entries]
+    matched, free = best_fit_brackets(is_gap, slots)
+    p, g, rest, _ = packing.sweep(is_gap, slots)
+    assert sorted(zip(p, g, strict=True)) == sorted(matched) and rest == free
+    ends = sorted({0, len(entries), *[min(c, len(entries)) for c in cuts]})
+    found, pieces, gaps, left = [], {}, {}, []
+    for part, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        p, g, rest, spare = packing.sweep(is_gap[a:b], slots[a:b])
+        found += [(x + a, y + a) for x, y in zip(p, g, strict=True)]
+        pieces[part] = [x + a for x in rest]
+        gaps[part] = [k + a for k, n in spare for _ in range(n)]
+        left.append((part, len(gaps[part]), len(rest)))
+    links, stay = packing.carry(left)
+    assert len(links) <= 2 * len(left)
+    for of, lo, hi, part, at in links:
+        found += [(pieces[of][hi - 1 - k], gaps[part][at + k]) for k in range(hi - lo)]
+    assert sorted(found) == sorted(matched)
+    assert [x for part, n in sorted(stay.items()) for x in pieces[part][:n]] == free
+
+
+def check_places(rows, capacity):
+    by = {}
+    for n, sequence, offset in rows:
+        by.setdefault(sequence, []).append((offset, n))
+    for spans in by.values():
+        at = 0
+        for offset, n in sorted(spans):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return by
+
+
+@pytest.mark.parametrize("capacity", [64, 2048])
+@settings(max_examples=30, deadline=None)
+@given(data=st.data())
+def test_one_range_places_all_in_few_sequences(capacity, data):
+    lengths = np.array(data.draw(st.lists(st.integers(1, capacity - 1), max_size=200)), dtype=np.int64)
+    ids = np.arange(lengths.size)
+    none = np.empty(0, dtype=np.int64)
+    piece, sequence, offset = packing.finish(ids, lengths, none, none, capacity)
+    assert sorted(piece.tolist()) == ids.tolist()
+    by = check_places(zip(lengths[piece].tolist(), sequence.tolist(), offset.tolist(), strict=True), capacity)
+    assert len(by) <= 1.02 * first_fit_decreasing(lengths.tolist(), capacity) + 2
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "tiny", "half", "ties"])
+def test_many_ranges_give_what_one_range_gives(spark, monkeypatch, kind):
+    rng = np.random.default_rng(3)
+    lengths = {"lognormal": np.clip(rng.lognormal(6.3, 1, 3000), 1, 2048), "tiny": np.clip(rng.lognormal(2, 1, 6000), 1, 2048), "half": rng.integers(700, 1300, 3000), "ties": rng.choice([2048, 1024, 512, 300, 1], 3000)}[kind].astype(int).tolist()
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "size_of long, length int").repartition(5)
+    whole = packing.pack(rows, Workspace(spark, "one")).collect()
+    monkeypatch.setattr(packing, "RANGE_ROWS", 400)
+    parts = packing.pack(rows, Workspace(spark, "many")).collect()
+    assert sorted(r.size_of for r in parts) == list(range(len(lengths)))
+    one, many = (check_places([(r.length, r.sequence_id, r.offset) for r in got], 2048) for got in (whole, parts))
+    assert sorted(sorted(x) for x in one.values()) == sorted(sorted(x) for x in many.values())
+    # The best-fit bound of a sequential pass, and the ids themselves.
+    assert len(many) <= 1.01 * first_fit_decreasing(lengths, 2048) + 1
+    assert len(many) <= 1.01 * supersteps({n: lengths.count(n) for n in set(lengths)}, 2048).sequences + 1
+
+
+def test_lengths_out_of_bounds_are_refused(spark):
+    for wrong in (0, 2049, None):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame([(1, 5), (2, wrong)], "i long, length int"), Workspace(spark, "wrong"))
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     assert packing.pack_documents(none).count() == 0
