@@ -89,22 +89,29 @@ def is_synthetic(kind: Column, name: Column, access: Column) -> Column:
     return (flagged | named).cast("int")
 
 
-#: Types of the language's own package that sources name without an import (fixed values).
+# Types of the language's own package that sources name without an import.
 LANG_TYPES = (
-    "Object", "String", "Integer", "Long", "Short", "Byte", "Character", "Boolean", "Float", "Double", "Number", "Math", "System", "Thread",
-    "Runnable", "Exception", "RuntimeException", "Error", "Throwable", "Class", "ClassLoader", "Process", "ProcessBuilder", "Runtime", "StringBuilder", "Iterable", "Override",
+    "Object", "String", "Integer", "Long", "Short", "Byte", "Boolean",
+    "Character", "Float", "Double", "Number", "Void", "Throwable",
+    "Exception", "RuntimeException", "Error", "Class", "Enum", "Iterable",
+    "Comparable", "CharSequence", "StringBuilder", "StringBuffer",
+    "System", "Math", "Thread", "Runnable",
 )
 
 
 def internal_name(written: Column, imports: Column, package: Column) -> Column:
-    """A source type name as internal name: generics off, dotted as written, import, own language, type variable, same package."""
-    plain = F.trim(F.regexp_replace(written, r"<.*>", ""))
+    """A source type name as internal name: generics off, dotted as written, import, own language, type variable, same package.
+
+    Null and blank names are the root type.
+    """
+    plain = F.trim(F.substring_index(F.coalesce(written, F.lit("")), "<", 1))
     same = F.when(F.coalesce(package, F.lit("")) == "", plain).otherwise(F.concat(package, F.lit("/"), plain))
     return (
-        F.when(plain.contains("."), F.translate(plain, ".", "/"))
+        F.when(plain == "", F.lit("java/lang/Object"))
+        .when(plain.contains("."), F.translate(plain, ".", "/"))
         .when(F.try_element_at(imports, plain).isNotNull(), F.try_element_at(imports, plain))
         .when(plain.isin(*LANG_TYPES), F.concat(F.lit("java/lang/"), plain))
-        .when(plain.rlike("^[A-Z]$"), F.lit("java/lang/Object"))
+        .when(plain.rlike(r"^\p{Lu}$"), F.lit("java/lang/Object"))
         .otherwise(same)
     )
 

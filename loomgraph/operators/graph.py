@@ -62,16 +62,20 @@ def ancestor_closure(supers: DataFrame) -> DataFrame:
     raise ValueError(f"the type hierarchy is deeper than {DEEPEST_HIERARCHY}")
 
 
+def overriding(methods: DataFrame) -> DataFrame:
+    """Methods that can override: no initialisers and, where access is known, neither static nor private."""
+    if "access" in methods.columns:
+        methods = methods.where(F.coalesce(F.col("access"), F.lit(0)).bitwiseAND(F.lit(0x0008 | 0x0002)) == 0)
+    return methods.where(~F.col("name").isin("<init>", "<clinit>"))
+
+
 def override_edges(closure: DataFrame, methods: DataFrame) -> DataFrame:
-    """(source, target): instance methods that can be overridden, against the same signature in every ancestor.
+    """(source, target): methods that can override, against the same signature in every ancestor, whatever its access there.
 
     ``methods`` has owner, name, descriptor and, if known, access.
     """
-    if "access" in methods.columns:
-        methods = methods.where(F.col("access").bitwiseAND(F.lit(0x0008 | 0x0002)) == 0)
-    able = methods.where(~F.col("name").isin("<init>", "<clinit>")).select("owner", "name", "descriptor")
-    sub = closure.join(able.withColumnRenamed("owner", "t"), "t")
-    sup = able.withColumnRenamed("owner", "a")
+    sub = closure.join(overriding(methods).select(F.col("owner").alias("t"), "name", "descriptor"), "t")
+    sup = methods.select(F.col("owner").alias("a"), "name", "descriptor")
     return sub.join(sup, ["a", "name", "descriptor"]).select(names.method_id(F.col("t"), F.col("name"), F.col("descriptor")).alias("source"), names.method_id(F.col("a"), F.col("name"), F.col("descriptor")).alias("target")).distinct()
 
 

@@ -49,6 +49,20 @@ def listed(files: DataFrame, *, origin: str | None = None, language: str | None
     return files.orderBy(F.col("language").asc_nulls_first(), "path").limit(min(limit, FILES_MOST) if limit > 0 else FILES_SHOWN)
 
 
+def ending_in(rows: DataFrame, path_col: str, suffixes: DataFrame) -> DataFrame:
+    """Rows whose path ends with any of the (suffix), wherever that starts in a name; null paths never do.
+
+    One equi-join on the path's end of each length that a suffix has; lengths are few, whatever the number of suffixes.
+    """
+    lengths = sorted(r.n for r in suffixes.select(F.length("suffix").alias("n")).where("n > 0").distinct().collect())
+    if not lengths:
+        return rows.where("false")
+    ends = F.transform(F.array(*map(F.lit, lengths)), lambda n: F.when(F.length("met_path") >= n, F.right(F.col("met_path"), n)))
+    paths = rows.where(F.col(path_col).isNotNull()).select(F.col(path_col).alias("met_path")).distinct().select("met_path", F.explode(ends).alias("suffix"))
+    met = paths.join(suffixes.select("suffix"), "suffix", "left_semi").select("met_path").distinct()
+    return rows.join(met, F.col(path_col) == F.col("met_path"), "left_semi")
+
+
 def lines(texts: DataFrame) -> DataFrame:
     """(path, line, text) of (path, text), lines counted from 1."""
     return texts.select("path", F.posexplode(F.split("text", "\n")).alias("k", "text")).select("path", (F.col("k") + 1).alias("line"), "text")

@@ -55,39 +55,43 @@ def duplicates(rows: DataFrame, key: str, container: str) -> DataFrame:
 def link_calls(edges: DataFrame, methods: DataFrame) -> DataFrame:
     """Placeholder call targets M:owner#name(L?;...)? rewritten where owner, name and number of parameters have exactly one descriptor.
 
-    Ambiguous and unknown targets, and those without owner ("?"), stay as they are.
+    Ambiguous and unknown targets, and those without owner ("?"), stay as they are.  Other columns (line,
+    origin) ride along.
     """
+    also = [c for c in edges.columns if c not in ("source", "target", "kind", "provenance")]
     known = methods.select("owner", "name", names.arity(F.col("descriptor")).alias("n"), "descriptor").distinct()
     unique = known.groupBy("owner", "name", "n").agg(F.count("*").alias("k"), F.min("descriptor").alias("descriptor")).where("k = 1").select("owner", "name", "n", "descriptor")
     parts = names.method_parts(F.col("target"))
-    open_call = (F.col("kind") == "calls") & F.col("target").endswith(")?")
+    open_call = (F.col("kind") == "calls") & (F.col("target").endswith(")?") | F.col("target").contains("(L?;"))
     rows = edges.withColumn("p", F.when(open_call, parts))
     rows = rows.withColumn("owner", F.col("p.owner")).withColumn("name", F.col("p.name")).withColumn("n", F.when(open_call, F.size(F.regexp_extract_all("p.descriptor", F.lit(r"L\?;"), F.lit(0)))))
     rows = rows.join(unique, ["owner", "name", "n"], "left")
     found = F.col("descriptor").isNotNull() & (F.col("owner") != "?")
-    return rows.select("source", F.when(found, names.method_id(F.col("owner"), F.col("name"), F.col("descriptor"))).otherwise(F.col("target")).alias("target"), "kind", F.when(found, "source-resolved").otherwise(F.col("provenance")).alias("provenance"))
+    return rows.select("source", F.when(found, names.method_id(F.col("owner"), F.col("name"), F.col("descriptor"))).otherwise(F.col("target")).alias("target"), "kind", F.when(found, "source-resolved").otherwise(F.col("provenance")).alias("provenance"), *[F.col(f"`{c}`") for c in also])
 
 
 def resolve_source_calls(found: DataFrame, methods: DataFrame, imports: DataFrame) -> DataFrame:
     """Targets of call expressions (caller_owner, scope, name, n), by the first rung that holds.
 
-    No scope or "this" and one method of that name and number in the class; a scope that is an imported
-    simple name; a capitalised scope, taken as a type of the same package; else a reference to M:?#name.
+    No scope or "this" and one method of that name and number in the class; a call through "super", whose
+    class is not looked up; a scope that is an imported simple name; a capitalised scope, taken as a type of the
+    same package; else a reference to M:?#name.
     """
     own = methods.select(F.col("owner").alias("caller_owner"), "name", names.arity(F.col("descriptor")).alias("n"), "descriptor").distinct()
     own = own.groupBy("caller_owner", "name", "n").agg(F.count("*").alias("k"), F.min("descriptor").alias("own_descriptor")).where("k = 1").drop("k")
     rows = found.join(own, ["caller_owner", "name", "n"], "left").join(imports.select("caller_owner", F.col("simple").alias("scope"), "internal"), ["caller_owner", "scope"], "left")
     holes = F.concat(F.lit("("), F.repeat(F.lit("L?;"), F.col("n").cast("int")), F.lit(")?"))
     bare = F.col("scope").isNull() | (F.col("scope") == "this")
-    package = F.regexp_extract("caller_owner", r"^(.*/)", 1)
+    typed = ~bare & F.col("scope").rlike(r"^\p{Lu}")
+    in_package = names.internal_name(F.col("scope"), F.create_map().cast("map<string,string>"), F.regexp_extract("caller_owner", r"^(.*)/", 1))
     target = (
         F.when(bare & F.col("own_descriptor").isNotNull(), names.method_id(F.col("caller_owner"), F.col("name"), F.col("own_descriptor")))
         .when(~bare & F.col("internal").isNotNull(), names.method_id(F.col("internal"), F.col("name"), holes))
-        .when(~bare & F.col("scope").rlike("^[A-Z]"), names.method_id(F.concat(package, "scope"), F.col("name"), holes))
+        .when(typed, names.method_id(in_package, F.col("name"), holes))
         .otherwise(names.method_id(F.lit("?"), F.col("name"), holes))
     )
-    provenance = F.when(bare & F.col("own_descriptor").isNotNull(), "source-self").when(~bare & F.col("internal").isNotNull(), "source-static-import").when(~bare & F.col("scope").rlike("^[A-Z]"), "source-static-best-effort").otherwise("source-unresolved")
-    return rows.select("caller_owner", "scope", "name", "n", target.alias("target"), provenance.alias("provenance"), F.when(provenance == "source-unresolved", "references").otherwise("calls").alias("kind"))
+    provenance = F.when(bare & F.col("own_descriptor").isNotNull(), "source-self").when(~bare & F.col("internal").isNotNull(), "source-static-import").when(typed, "source-static-best-effort").when(F.col("scope") == "super", "source-super-unresolved").otherwise("source-unresolved")
+    return rows.select("caller_owner", "scope", "name", "n", target.alias("target"), provenance.alias("provenance"), F.when(provenance.endswith("unresolved"), "references").otherwise("calls").alias("kind"))
 
 
 def enrich_positions(methods: DataFrame, positions: DataFrame) -> DataFrame:

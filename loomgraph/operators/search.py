@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIELDS = ("name", "owner", "descriptor")
@@ -17,6 +17,11 @@ def query_terms(query: str | None) -> list[str]:
     return [t for t in re.split(r"[^A-Za-z0-9_$<>]+", query or "") if t]
 
 
+def query_terms_of(query: Column) -> Column:
+    """The terms of a column of queries, by the same rule."""
+    return F.filter(F.split(F.coalesce(query, F.lit("")), r"[^A-Za-z0-9_$<>]+"), lambda t: t != "")
+
+
 def term_tokens(term: str) -> list[str]:
     return [t for t in re.split(r"[\W_]+", term.lower()) if t]
 

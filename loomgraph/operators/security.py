@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from . import graph
 from .graph import trace
 
 #: Rule tables are files written by people; up to this many rows they are broadcast, else shuffled.
@@ -84,19 +85,55 @@ def flow_priority(entry_kind: Column, sanitized: Column) -> Column:
     return rank.otherwise(OTHER_ENTRY) + F.when(sanitized, SANITIZED).otherwise(0)
 
 
-#: Annotations by which frameworks mark entry points, as simple names by package and kind.
-_SPRING_WEB, _JAX = "org/springframework/web/bind/annotation", ("javax/ws/rs", "jakarta/ws/rs")
-HTTP_METHOD_ANNOTATIONS = tuple(f"L{_SPRING_WEB}/{n};" for n in ("RequestMapping", "GetMapping", "PostMapping", "PutMapping", "DeleteMapping", "PatchMapping")) + tuple(f"L{p}/{n};" for p in _JAX for n in ("GET", "POST", "PUT", "DELETE", "Path"))
-MQ_METHOD_ANNOTATIONS = ("Lorg/springframework/kafka/annotation/KafkaListener;", "Lorg/springframework/amqp/rabbit/annotation/RabbitListener;", "Lorg/springframework/amqp/rabbit/annotation/RabbitHandler;", "Lorg/springframework/jms/annotation/JmsListener;", "Lorg/springframework/cloud/stream/annotation/StreamListener;")
-ASYNC_METHOD_ANNOTATIONS = ("Lorg/springframework/scheduling/annotation/Scheduled;", "Lorg/springframework/scheduling/annotation/Async;")
-HTTP_CLASS_ANNOTATIONS = ("Lorg/springframework/stereotype/Controller;", f"L{_SPRING_WEB}/RestController;", f"L{_SPRING_WEB}/RequestMapping;", "Ljavax/ws/rs/Path;", "Ljakarta/ws/rs/Path;")
-#: Overridden methods that make an entry: (types, method names, descriptor or null for any, kind).
+# Annotations by which frameworks mark entry points, on methods and on classes.
+HTTP_METHOD_ANNOTATIONS = (
+    "Lorg/springframework/web/bind/annotation/RequestMapping;",
+    "Lorg/springframework/web/bind/annotation/GetMapping;",
+    "Lorg/springframework/web/bind/annotation/PostMapping;",
+    "Lorg/springframework/web/bind/annotation/PutMapping;",
+    "Lorg/springframework/web/bind/annotation/DeleteMapping;",
+    "Lorg/springframework/web/bind/annotation/PatchMapping;",
+    "Ljavax/ws/rs/Path;",
+    "Ljakarta/ws/rs/Path;",
+    "Ljavax/ws/rs/GET;",
+    "Ljavax/ws/rs/POST;",
+    "Ljavax/ws/rs/PUT;",
+    "Ljavax/ws/rs/DELETE;",
+    "Ljakarta/ws/rs/GET;",
+    "Ljakarta/ws/rs/POST;",
+    "Ljakarta/ws/rs/PUT;",
+    "Ljakarta/ws/rs/DELETE;",
+)
+HTTP_CLASS_ANNOTATIONS = (
+    "Lorg/springframework/web/bind/annotation/RestController;",
+    "Lorg/springframework/stereotype/Controller;",
+    "Lorg/springframework/web/bind/annotation/RequestMapping;",
+    "Ljavax/ws/rs/Path;",
+    "Ljakarta/ws/rs/Path;",
+)
+MQ_METHOD_ANNOTATIONS = (
+    "Lorg/springframework/kafka/annotation/KafkaListener;",
+    "Lorg/springframework/amqp/rabbit/annotation/RabbitListener;",
+    "Lorg/springframework/jms/annotation/JmsListener;",
+    "Lorg/springframework/cloud/stream/annotation/StreamListener;",
+    "Lorg/springframework/messaging/handler/annotation/MessageMapping;",
+)
+ASYNC_METHOD_ANNOTATIONS = (
+    "Lorg/springframework/scheduling/annotation/Scheduled;",
+    "Lorg/springframework/scheduling/annotation/Async;",
+)
+# Overridden methods that make an entry: (type, method name, descriptor or null for any, kind); "*" ends the start of a name.
 OVERRIDE_ENTRIES = (
-    (("javax/servlet/http/HttpServlet", "jakarta/servlet/http/HttpServlet"), ("doGet", "doPost", "doPut", "doDelete", "doHead", "doOptions", "doTrace", "doPatch", "service"), None, "SERVLET"),
-    (("javax/servlet/Filter", "jakarta/servlet/Filter"), ("doFilter",), None, "FILTER"),
-    (("javax/jms/MessageListener", "jakarta/jms/MessageListener"), ("onMessage",), None, "MQ"),
-    (("java/lang/Runnable",), ("run",), "()V", "ASYNC"),
-    (("java/util/concurrent/Callable",), ("call",), None, "ASYNC"),
+    ("javax/servlet/http/HttpServlet", "do*", None, "SERVLET"),
+    ("javax/servlet/http/HttpServlet", "service", None, "SERVLET"),
+    ("jakarta/servlet/http/HttpServlet", "do*", None, "SERVLET"),
+    ("jakarta/servlet/http/HttpServlet", "service", None, "SERVLET"),
+    ("javax/servlet/Filter", "doFilter", None, "FILTER"),
+    ("jakarta/servlet/Filter", "doFilter", None, "FILTER"),
+    ("javax/jms/MessageListener", "onMessage", None, "MQ"),
+    ("jakarta/jms/MessageListener", "onMessage", None, "MQ"),
+    ("java/lang/Runnable", "run", "()V", "ASYNC"),
+    ("java/util/concurrent/Callable", "call", None, "ASYNC"),
 )
 MAIN = "([Ljava/lang/String;)V"
 
@@ -122,15 +159,16 @@ def entry_kind(name: Column, descriptor: Column, access: Column, method_annotati
 
 
 def override_rules(spark, entries=OVERRIDE_ENTRIES) -> DataFrame:
-    rows = [(t, m, d, k) for types, methods, d, k in entries for t in types for m in methods]
-    return spark.createDataFrame(rows, "a string, name string, wanted string, kind string")
+    return spark.createDataFrame(list(entries), "a string, rule_name string, wanted string, kind string")
 
 
 def entries_by_override(methods: DataFrame, supers: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, entry_kind) for methods without one that override an entry method of an ancestor, known or not.
 
-    ``supers`` has all (t, a), also for types outside the graph.
+    Initialisers never do, nor, where ``methods`` has an access column, static and private methods.
+    ``supers`` has all (t, a), also for types outside the graph; ``rules`` has a, rule_name, wanted and kind.
     """
-    met = methods.where("entry_kind is null").join(supers, F.col("owner") == F.col("t")).join(small(rules), ["a", "name"])
-    met = met.where("wanted is null or wanted = descriptor")
+    known = supers.join(small(rules), "a")  # the few types with a rule, before any method
+    met = graph.overriding(methods.where("entry_kind is null")).join(known, F.col("owner") == F.col("t"))
+    met = met.where("(name = rule_name or (endswith(rule_name, '*') and startswith(name, substring(rule_name, 1, length(rule_name) - 1)))) and (wanted is null or wanted = descriptor)")
     return met.groupBy(names.method_id(F.col("owner"), F.col("name"), F.col("descriptor")).alias("id")).agg(F.min("kind").alias("entry_kind"))

@@ -128,11 +128,24 @@ def trace_paths(g):
     return graph.trace(g.step, g.source_methods, starts).withColumn("path", F.array_join("path", " > "))
 
 
-@query("""select 'M:' || m.owner || '#' || m.name || m.descriptor as id, min('MQ') as entry_kind from mth m join anc on anc.t = m.owner join cls c on c.internal = anc.a and c.kind = 'interface'
- where m.entry_kind is null and m.name = 'ship' group by 1""")
+#: Methods of all orders under framework types: names, descriptors, access and known kinds vary with the key.
+_HOOKS = """select 'app/H'||o_orderkey as owner,
+ case o_orderkey%13 when 0 then 'doGet' when 1 then 'doFancy' when 2 then 'service' when 3 then 'doFilter' when 4 then 'onMessage' when 5 then 'run' when 6 then 'call' when 7 then '<init>' when 8 then 'undo' when 9 then 'services' when 10 then 'dodge' else 'run' end as name,
+ case when o_orderkey%5=0 then '(I)V' else '()V' end as descriptor,
+ case o_orderkey%11 when 0 then 8 when 1 then 2 when 2 then 9 else 1 end as access,
+ case when o_orderkey%17=0 then 'HTTP' end as entry_kind,
+ case o_custkey%9 when 0 then 'javax/servlet/http/HttpServlet' when 1 then 'jakarta/servlet/http/HttpServlet' when 2 then 'javax/servlet/Filter' when 3 then 'jakarta/servlet/Filter' when 4 then 'javax/jms/MessageListener' when 5 then 'jakarta/jms/MessageListener' when 6 then 'java/lang/Runnable' when 7 then 'java/util/concurrent/Callable' else 'app/Base' end as ancestor from orders"""
+
+
+@query(f"""select 'M:' || owner || '#' || name || descriptor as id, kind as entry_kind from (select *,
+  case when ancestor like '%/servlet/http/HttpServlet' and (name like 'do%' or name = 'service') then 'SERVLET' when ancestor like '%/servlet/Filter' and name = 'doFilter' then 'FILTER'
+   when ancestor like '%/jms/MessageListener' and name = 'onMessage' then 'MQ' when ancestor = 'java/lang/Runnable' and name = 'run' and descriptor = '()V' then 'ASYNC' when ancestor like '%/Callable' and name = 'call' then 'ASYNC' end as kind
+  from ({_HOOKS}) h where entry_kind is null and access not in (2, 8, 9) and name <> '<init>') q where kind is not null""")
 def entry_from_override(g):
-    rules = g.cls.where("kind = 'interface'").select(F.col("internal").alias("a"), F.lit("ship").alias("name"), F.lit("(I)V").alias("wanted"), F.lit("MQ").alias("kind"))
-    return security.entries_by_override(g.mth, g.closure, rules)
+    hooks = g.sql(_HOOKS)
+    # The framework type is two steps up.
+    supers = hooks.select(F.col("owner").alias("t"), F.concat(F.lit("mid/"), "ancestor").alias("a")).unionByName(hooks.select(F.concat(F.lit("mid/"), "ancestor").alias("t"), F.col("ancestor").alias("a")))
+    return security.entries_by_override(hooks.drop("ancestor"), graph.ancestor_closure(supers), security.override_rules(g.spark))
 
 
 # --- rules and scans
@@ -190,36 +203,45 @@ def flow_ranking(g):
     return g.nodes.where("kind = 'method'").select("id", "entry_kind", security.flow_priority(F.col("entry_kind"), F.col("synthetic") == 1).alias("priority"))
 
 
-_ENTRY_ROWS = [
-    ("main", "([Ljava/lang/String;)V", 9, "Lorg/springframework/scheduling/annotation/Async;", None),
-    ("main", "([Ljava/lang/String;)V", 1, None, None),
-    ("list", "()V", 1, "Lorg/springframework/web/bind/annotation/GetMapping;", None),
-    ("list", "()V", 1, None, "Lorg/springframework/stereotype/Controller;"),
-    ("list", "()V", 2, None, "Lorg/springframework/stereotype/Controller;"),
-    ("list", "()V", 9, None, "Ljavax/ws/rs/Path;"),
-    ("<init>", "()V", 1, None, "Ljavax/ws/rs/Path;"),
-    ("on", "()V", 1, "Lorg/springframework/kafka/annotation/KafkaListener;", "Ljavax/ws/rs/Path;"),
-]
-_ENTRY_VALUES = ", ".join("(" + ", ".join("null" if x is None else repr(x) for x in r) + ")" for r in _ENTRY_ROWS)
-_CLASS_HTTP = "case when access & 1 = 1 and access & 8 = 0 and name not like '<%' and cls_ann in ('Lorg/springframework/stereotype/Controller;', 'Ljavax/ws/rs/Path;') then 'HTTP' end"
-_METHOD_ANN = "case when ann like '%GetMapping;' then 'HTTP' when ann like '%KafkaListener;' then 'MQ' when ann like '%Async;' then 'ASYNC' end"
-_MAIN_SQL = "case when name = 'main' and descriptor = '([Ljava/lang/String;)V' and access & 8 = 8 then 'MAIN' end"
-
-
-@query(f"select name, descriptor, access, ann, cls_ann, coalesce({_METHOD_ANN}, {_MAIN_SQL}, {_CLASS_HTTP}) as from_class, coalesce({_MAIN_SQL}, {_METHOD_ANN}, {_CLASS_HTTP}) as from_source from (values {_ENTRY_VALUES}) v(name, descriptor, access, ann, cls_ann)", fixture=False)
+#: What each annotation of the frameworks makes of a method, and of the methods of a class.
+_ON_METHOD = [
+    (0, "Lorg/springframework/web/bind/annotation/RequestMapping;", "HTTP"), (1, "Lorg/springframework/web/bind/annotation/GetMapping;", "HTTP"), (2, "Lorg/springframework/web/bind/annotation/PostMapping;", "HTTP"),
+    (3, "Lorg/springframework/web/bind/annotation/PutMapping;", "HTTP"), (4, "Lorg/springframework/web/bind/annotation/DeleteMapping;", "HTTP"), (5, "Lorg/springframework/web/bind/annotation/PatchMapping;", "HTTP"),
+    (6, "Ljavax/ws/rs/Path;", "HTTP"), (7, "Ljakarta/ws/rs/Path;", "HTTP"), (8, "Ljavax/ws/rs/GET;", "HTTP"), (9, "Ljavax/ws/rs/POST;", "HTTP"), (10, "Ljavax/ws/rs/PUT;", "HTTP"), (11, "Ljavax/ws/rs/DELETE;", "HTTP"),
+    (12, "Ljakarta/ws/rs/GET;", "HTTP"), (13, "Ljakarta/ws/rs/POST;", "HTTP"), (14, "Ljakarta/ws/rs/PUT;", "HTTP"), (15, "Ljakarta/ws/rs/DELETE;", "HTTP"),
+    (16, "Lorg/springframework/kafka/annotation/KafkaListener;", "MQ"), (17, "Lorg/springframework/amqp/rabbit/annotation/RabbitListener;", "MQ"), (18, "Lorg/springframework/jms/annotation/JmsListener;", "MQ"),
+    (19, "Lorg/springframework/cloud/stream/annotation/StreamListener;", "MQ"), (20, "Lorg/springframework/messaging/handler/annotation/MessageMapping;", "MQ"),
+    (21, "Lorg/springframework/scheduling/annotation/Scheduled;", "ASYNC"), (22, "Lorg/springframework/scheduling/annotation/Async;", "ASYNC"),
+    (23, "Lorg/springframework/amqp/rabbit/annotation/RabbitHandler;", None), (24, "Ljavax/ws/rs/HEAD;", None),
+]
+_ON_CLASS = [
+    (0, "Lorg/springframework/web/bind/annotation/RestController;", "HTTP"), (1, "Lorg/springframework/stereotype/Controller;", "HTTP"), (2, "Lorg/springframework/web/bind/annotation/RequestMapping;", "HTTP"),
+    (3, "Ljavax/ws/rs/Path;", "HTTP"), (4, "Ljakarta/ws/rs/Path;", "HTTP"), (5, "Lorg/springframework/stereotype/Service;", None),
+]
+_table = lambda rows: ", ".join(f"({k}, '{a}', {'null' if kind is None else repr(kind)})" for k, a, kind in rows)
+#: Every order is a method, by turns main, an initialiser or another, with or without annotations.
+_MARKED = f"""select o_orderkey, case o_orderkey%5 when 0 then 'main' when 1 then '<init>' else 'list' end as name, case when o_orderkey%3=0 then '()V' else '([Ljava/lang/String;)V' end as descriptor,
+ cast(case o_orderkey%7 when 0 then 1 when 1 then 2 when 2 then 8 else 9 end as int) as access, m.ann, m.m_kind, c.cls_ann, c.c_kind from orders
+ left join (values {_table(_ON_METHOD)}) m(k, ann, m_kind) on m.k = o_custkey%37 left join (values {_table(_ON_CLASS)}) c(k, cls_ann, c_kind) on c.k = (o_orderkey+o_custkey)%11"""
+_MAIN_SQL = "case when name = 'main' and descriptor = '([Ljava/lang/String;)V' and access in (8, 9) then 'MAIN' end"
+_CLASS_SQL = "case when access = 1 and name not like '<%' then c_kind end"
+
+
+@query(f"select o_orderkey, coalesce(m_kind, {_MAIN_SQL}, {_CLASS_SQL}) as from_class, coalesce({_MAIN_SQL}, m_kind, {_CLASS_SQL}) as from_source from ({_MARKED}) q")
 def entry_classify(g):
-    rows = g.spark.createDataFrame(_ENTRY_ROWS, "name string, descriptor string, access int, ann string, cls_ann string")
     kind = lambda s: security.entry_kind(F.col("name"), F.col("descriptor"), F.col("access"), F.array("ann"), F.array("cls_ann"), from_source=s)
-    return rows.withColumn("from_class", kind(False)).withColumn("from_source", kind(True))
+    return g.sql(_MARKED).select("o_orderkey", kind(False).alias("from_class"), kind(True).alias("from_source"))
 
 
-_RULE_LINES = ["# sinks", "", "sink exec java/lang/Runtime#exec", "  SINK  sql   java/sql/Statement#executeQuery  # note", "source http a/B#get", "other x a/B#c", "sink exec nohash", "sink exec #name", "sink exec owner#", "sink short"]
+#: A line for each part: rules in several spellings, comments, blanks and bad ones.
+_RULE_TEXT = """select p_partkey as seq, case p_partkey%9 when 0 then '# '||p_name when 1 then '' when 2 then 'sink '||lower(split_part(p_type,' ',1))||' lib/'||replace(p_brand,'#','')||'/P'||p_partkey||'#get' when 3 then '   SINK   sql  java/sql/S'||p_partkey||'#run   # note'
+ when 4 then 'source http a/B'||p_partkey||'#get' when 5 then 'other x a/B#c' when 6 then 'sink exec nohash'||p_partkey when 7 then 'sink exec #name' else 'sink exec owner'||p_partkey||'#' end as line from part"""
 
 
-@query("""select lower(p[1]) as kind, p[2] as category, split_part(p[3], '#', 1) as owner, split_part(p[3], '#', 2) as name, seq from (select regexp_split_to_array(trim(line), '\\s+') as p, line, seq
- from (values """ + ", ".join(f"({i}, '{x}')" for i, x in enumerate(_RULE_LINES, 1)) + """) v(seq, line)) where trim(line) <> '' and trim(line) not like '#%' and len(p) >= 3 and lower(p[1]) in ('sink', 'source') and split_part(p[3], '#', 1) <> '' and split_part(p[3], '#', 2) <> ''""", fixture=False)
+@query(f"""select lower(p[1]) as kind, p[2] as category, split_part(p[3], '#', 1) as owner, split_part(p[3], '#', 2) as name, seq from (select regexp_split_to_array(trim(line), '\\s+') as p, line, seq
+ from ({_RULE_TEXT}) v) q where trim(line) <> '' and trim(line) not like '#%' and len(p) >= 3 and lower(p[1]) in ('sink', 'source') and split_part(p[3], '#', 1) <> '' and split_part(p[3], '#', 2) <> ''""")
 def rule_parse(g):
-    return rule_source.parse_rules(g.spark.createDataFrame(list(enumerate(_RULE_LINES, 1)), "seq int, line string"))
+    return rule_source.parse_rules(g.sql(_RULE_TEXT))
 
 
 # --- scope
@@ -229,32 +251,31 @@ def scope_prefix(g):
     return g.nodes.where(names.in_prefix(F.col("id"), names.scope_prefix(" app.cust.C1 "))).select("id")
 
 
-@query("select n.id from nodes n where exists (select 1 from (select 'cust/C' || c_custkey || '.java' as suffix from customer where c_custkey % 100 = 0) s where n.file_path is not null and ends_with(n.file_path, s.suffix))")
+_SUFFIXES = "select replace('cust@C'||c_custkey||'.java','@',chr(92)) as suffix from customer union all select n_nationkey||'.java' from nation"
+
+
+@query(f"select n.id from nodes n where exists (select 1 from ({_SUFFIXES}) s where n.file_path is not null and ends_with(n.file_path, replace(s.suffix, chr(92), '/')))")
 def scope_paths(g):
-    suffixes = g.customer.where("c_custkey % 100 = 0").select(F.concat(F.lit("cust\\C"), F.col("c_custkey").cast("string"), F.lit(".java")).alias("s")).select(F.translate("s", "\\", "/").alias("suffix"))
-    # A suffix ends at the path's end, so its last component must equal the path's: an equi-join, then the rest.
-    tail = lambda c: F.substring_index(c, "/", -1)
-    nodes = g.nodes.withColumn("tail", tail("file_path"))
-    met = nodes.join(suffixes.withColumn("s_tail", tail("suffix")), (F.col("tail") == F.col("s_tail")) & F.col("file_path").endswith(F.col("suffix")), "left_semi")
-    return met.select("id")
+    # A suffix may start inside a name: 5.java ends N15.java too.
+    return inventory.ending_in(g.nodes, "file_path", g.sql(_SUFFIXES).select(F.translate("suffix", "\\", "/").alias("suffix"))).select("id")
 
 
-_LIST_LINES = ["# changed", " src\\A.java ", "", "b/C.java", "  # no"]
+_CHANGED = "select case c_custkey%5 when 0 then '# '||c_name when 1 then ' src'||chr(92)||'C'||c_custkey||'.java ' when 2 then '' when 3 then 'b/C'||c_custkey||'.java' else '  # no' end as line from customer"
 
 
-@query("select replace(trim(line), '\\', '/') as path from (values " + ", ".join(f"('{x}')" for x in _LIST_LINES) + ") v(line) where trim(line) <> '' and trim(line) not like '#%'", fixture=False)
+@query(f"select replace(trim(line), chr(92), '/') as path from ({_CHANGED}) v where trim(line) <> '' and trim(line) not like '#%'")
 def changed_list_parse(g):
-    return rule_source.parse_changed(g.spark.createDataFrame([(x,) for x in _LIST_LINES], "line string"))
+    return rule_source.parse_changed(g.sql(_CHANGED))
 
 
 # --- search and text
 
-_TERMS = ["ship my_field", "<init> foo.bar", "  ", "a$b;c"]
+_ASKED = "select p_partkey, case p_partkey%4 when 0 then p_name||' <init> foo.bar' when 1 then replace(p_name,' ','_')||';a$b' when 2 then p_brand||'  '||p_type else '  ' end as q from part"
 
 
-@query("select q, array_to_string(list_filter(regexp_split_to_array(q, '[^A-Za-z0-9_$<>]+'), lambda x: x <> ''), '|') as terms from (values " + ", ".join(f"('{x}')" for x in _TERMS) + ") v(q)", fixture=False)
+@query(f"select p_partkey, array_to_string(list_filter(regexp_split_to_array(q, '[^A-Za-z0-9_$<>]+'), lambda x: x <> ''), '|') as terms from ({_ASKED}) v")
 def fts_query_terms(g):
-    return g.spark.createDataFrame([(x, "|".join(search.query_terms(x))) for x in _TERMS], "q string, terms string")
+    return g.sql(_ASKED).select("p_partkey", F.array_join(search.query_terms_of(F.col("q")), "|").alias("terms"))
 
 
 _POST_SQL = " union all ".join(f"select id, '{c}' as field, unnest(range(len(t)))::int as pos, unnest(t) as token from (select id, list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as t from nodes)" for c in search.FIELDS)
@@ -301,9 +322,9 @@ def grep_lines(g):
     return inventory.grep(g.files.select("path", "text"), "LICENSE")
 
 
-@query("select path, cast(2 as int) as start_line, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) as text from files where seq % 7 = 0")
+@query("select path, cast(2 as int) as start_line, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) as text from files")
 def method_slice(g):
-    texts = g.files.where("seq % 7 = 0")
+    texts = g.files
     return inventory.sliced(texts.select("path", "text"), texts.select("path", F.lit(2).alias("start_line"), F.lit(4).alias("end_line")))
 
 
@@ -314,12 +335,12 @@ def node_format(g):
 
 # --- index time
 
-_PATHS = ["a/B.JAR", "x.war", "y.ear", "m.jmod", "C.class", "D.Java", "readme.md", "jar"]
+_PATHS = "select p_partkey, 'a/P'||p_partkey||case p_partkey%9 when 0 then '.JAR' when 1 then '.war' when 2 then '.ear' when 3 then '.jmod' when 4 then '.class' when 5 then '.Java' when 6 then '.md' when 7 then 'jar' else '.jar/x' end as path from part"
 
 
-@query("select path, case when regexp_matches(lower(path), '\\.(jar|war|ear|jmod)$') then 'archive' when lower(path) like '%.class' then 'class' when lower(path) like '%.java' then 'java' end as route from (values " + ", ".join(f"('{x}')" for x in _PATHS) + ") v(path)", fixture=False)
+@query(f"select path, case when regexp_matches(lower(path), '\\.(jar|war|ear|jmod)$') then 'archive' when lower(path) like '%.class' then 'class' when lower(path) like '%.java' then 'java' end as route from ({_PATHS}) v")
 def file_routing(g):
-    return g.spark.createDataFrame([(x,) for x in _PATHS], "path string").select("path", inventory.route(F.col("path")).alias("route"))
+    return g.sql(_PATHS).select("path", inventory.route(F.col("path")).alias("route"))
 
 
 @query("select text as internal, container, seq from (select text, container, seq, row_number() over (partition by text order by seq) as k from files) where k = 1")
@@ -376,16 +397,16 @@ def link_calls(g):
     return merge.link_calls(open_calls, g.mth)
 
 
-@query("""select caller_owner, scope, name, n, case when scope = 'this' and name = 'bill' then 'M:' || caller_owner || '#bill()V' when scope = 'Brand' then 'M:lib/Brand#' || name || '(' || repeat('L?;', n) || ')?'
-  when scope = 'Other' then 'M:app/cust/Other#' || name || '(' || repeat('L?;', n) || ')?' else 'M:?#' || name || '(' || repeat('L?;', n) || ')?' end as target,
- case when scope = 'this' and name = 'bill' then 'source-self' when scope = 'Brand' then 'source-static-import' when scope = 'Other' then 'source-static-best-effort' else 'source-unresolved' end as provenance,
- case when (scope = 'this' and name = 'bill') or scope in ('Brand', 'Other') then 'calls' else 'references' end as kind
- from (select 'app/cust/C' || c_custkey as caller_owner, case c_custkey % 4 when 0 then 'this' when 1 then 'Brand' when 2 then 'Other' else 'x' end as scope, case when c_custkey % 3 = 0 then 'bill' else 'send' end as name, case when c_custkey % 3 = 0 then 0 else 2 end as n from customer)""")
+@query("""select caller_owner, scope, name, n, case when coalesce(scope, 'this') = 'this' and name = 'bill' then 'M:' || caller_owner || '#bill()V' when scope = 'Brand' then 'M:lib/Brand#' || name || '(' || repeat('L?;', n) || ')?'
+  when scope = 'Math' then 'M:java/lang/Math#' || name || '(' || repeat('L?;', n) || ')?' when scope = 'Other' then 'M:app/cust/Other#' || name || '(' || repeat('L?;', n) || ')?' else 'M:?#' || name || '(' || repeat('L?;', n) || ')?' end as target,
+ case when coalesce(scope, 'this') = 'this' and name = 'bill' then 'source-self' when scope = 'Brand' then 'source-static-import' when scope in ('Other', 'Math') then 'source-static-best-effort' when scope = 'super' then 'source-super-unresolved' else 'source-unresolved' end as provenance,
+ case when (coalesce(scope, 'this') = 'this' and name = 'bill') or scope in ('Brand', 'Other', 'Math') then 'calls' else 'references' end as kind
+ from (select 'app/cust/C' || c_custkey as caller_owner, case c_custkey % 7 when 0 then 'this' when 1 then 'Brand' when 2 then 'Other' when 3 then 'super' when 4 then 'Math' when 5 then null else 'x' end as scope, case when c_custkey % 3 = 0 then 'bill' else 'send' end as name, case when c_custkey % 3 = 0 then 0 else 2 end as n from customer)""")
 def call_resolution_ladder(g):
     k = F.col("c_custkey")
     found = g.customer.select(
         F.concat(F.lit("app/cust/C"), k.cast("string")).alias("caller_owner"),
-        F.when(k % 4 == 0, "this").when(k % 4 == 1, "Brand").when(k % 4 == 2, "Other").otherwise("x").alias("scope"),
+        F.when(k % 7 == 0, "this").when(k % 7 == 1, "Brand").when(k % 7 == 2, "Other").when(k % 7 == 3, "super").when(k % 7 == 4, "Math").when(k % 7 == 5, None).otherwise("x").alias("scope"),
         F.when(k % 3 == 0, "bill").otherwise("send").alias("name"),
         F.when(k % 3 == 0, 0).otherwise(2).alias("n"),
     )
@@ -393,31 +414,35 @@ def call_resolution_ladder(g):
     return merge.resolve_source_calls(found, g.mth, imports)
 
 
-_TYPES = [("String", "java/lang/String"), ("List<String>", "java/util/List"), ("T", "java/lang/Object"), ("Foo", "p/q/Foo"), ("a.b.C", "a/b/C"), ("Map<K, V>", "p/q/Map"), ("Process", "java/lang/Process")]
+_LANG = "'Object', 'String', 'Integer', 'Long', 'Short', 'Byte', 'Boolean', 'Character', 'Float', 'Double', 'Number', 'Void', 'Throwable', 'Exception', 'RuntimeException', 'Error', 'Class', 'Enum', 'Iterable', 'Comparable', 'CharSequence', 'StringBuilder', 'StringBuffer', 'System', 'Math', 'Thread', 'Runnable'"
+#: A written type for each part: the language's own by turns, type variables, imports, dotted, generic and plain names.
+_WRITTEN = f"""select p_partkey, case p_partkey%8 when 0 then l.word when 1 then l.word||'<T>' when 2 then upper(substr(p_name,1,1)) when 3 then 'List<'||l.word||'>' when 4 then 'a.b.P'||p_partkey when 5 then 'Map.Entry<K, V>' when 6 then ' P'||p_partkey||' <K, List<V>> ' else case when p_partkey%16=7 then 'Process' else '' end end as written
+ from part left join (select word, row_number() over (order by word) - 1 as k from (values ('Object'), ('String'), ('Integer'), ('Long'), ('Short'), ('Byte'), ('Boolean'), ('Character'), ('Float'), ('Double'), ('Number'), ('Void'), ('Throwable'), ('Exception'), ('RuntimeException'), ('Error'), ('Class'), ('Enum'), ('Iterable'), ('Comparable'), ('CharSequence'), ('StringBuilder'), ('StringBuffer'), ('System'), ('Math'), ('Thread'), ('Runnable'), ('ClassLoader'), ('Override')) w(word)) l on l.k = p_partkey%29"""
 
 
-@query("select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in _TYPES) + ") v(written, internal)", fixture=False)
+@query(f"""select p_partkey, written, case when plain = '' then 'java/lang/Object' when contains(plain, '.') then replace(plain, '.', '/') when plain = 'List' then 'java/util/List' when plain in ({_LANG}) then 'java/lang/' || plain
+  when regexp_full_match(plain, '[A-Z]') then 'java/lang/Object' else 'p/q/' || plain end as internal from (select *, trim(split_part(written, '<', 1)) as plain from ({_WRITTEN}) w) q""")
 def resolve_type_name(g):
-    rows = g.spark.createDataFrame([(a,) for a, _ in _TYPES], "written string")
     imports = F.create_map(F.lit("List"), F.lit("java/util/List"))
-    return rows.select("written", names.internal_name(F.col("written"), imports, F.lit("p/q")).alias("internal"))
+    return g.sql(_WRITTEN).select("p_partkey", "written", names.internal_name(F.col("written"), imports, F.lit("p/q")).alias("internal"))
 
 
-_DESCRIPTORS = [("()V", 0), ("(I)V", 1), ("(IJLjava/lang/String;[[D[La/B;)V", 5), ("(Lbroken", 0), ("(L?;L?;)?", 2), ("(Q)V", 0)]
+#: A descriptor for each order, with the number of its parameters.
+_DESCRIBED = """select o_orderkey, case o_orderkey%6 when 0 then '('||repeat('I',cast(o_custkey%5 as int))||')V' when 1 then '('||repeat('[[J',cast(o_custkey%5 as int))||repeat('Ljava/lang/String;',2)||'[La/B;)V' when 2 then '('||repeat('L?;',cast(o_custkey%5 as int))||')?'
+ when 3 then '(Lbroken' when 4 then '(Q)V' else 'V' end as descriptor, cast(case o_orderkey%6 when 0 then o_custkey%5 when 1 then o_custkey%5+3 when 2 then o_custkey%5 else 0 end as int) as n from orders"""
 
 
-@query("select * from (values " + ", ".join(f"('{a}', {b})" for a, b in _DESCRIPTORS) + ") v(descriptor, n)", fixture=False)
+@query(f"select o_orderkey, descriptor, n from ({_DESCRIBED}) q")
 def descriptor_arity(g):
-    return g.spark.createDataFrame([(a,) for a, _ in _DESCRIPTORS], "descriptor string").select("descriptor", names.arity(F.col("descriptor")).alias("n"))
+    return g.sql(_DESCRIBED).select("o_orderkey", "descriptor", names.arity(F.col("descriptor")).alias("n"))
 
 
-_MEMBERS = [("field", "val$x", 0, 1), ("field", "this$0", 16, 1), ("field", "x", 4096, 1), ("field", "y", 64, 0), ("method", "access$000", 8, 1), ("method", "m", 64, 1), ("method", "val$x", 0, 0), ("class", "A", 4096, 1)]
+_MEMBERS = """select o_orderkey, case o_custkey%3 when 0 then 'field' when 1 then 'method' else 'class' end as kind, case o_orderkey%5 when 0 then 'val$x' when 1 then 'this$0' when 2 then 'access$000' else 'm' end as name, cast(case o_orderkey%7 when 0 then 4096 when 1 then 64 when 2 then 4160 when 3 then 9 else 1 end as int) as access from orders"""
 
 
-@query("select * from (values " + ", ".join(f"('{a}', '{b}', {c}, {d})" for a, b, c, d in _MEMBERS) + ") v(kind, name, access, synthetic)", fixture=False)
+@query(f"""select *, cast(case when access in (4096, 4160) then 1 when access = 64 and kind <> 'field' then 1 when kind = 'field' and (name like 'val$%' or name like 'this$%') then 1 when kind = 'method' and name like 'access$%' then 1 else 0 end as int) as synthetic from ({_MEMBERS}) q""")
 def synthetic_flags(g):
-    rows = g.spark.createDataFrame([r[:3] for r in _MEMBERS], "kind string, name string, access int")
-    return rows.withColumn("synthetic", names.is_synthetic(F.col("kind"), F.col("name"), F.col("access")))
+    return g.sql(_MEMBERS).withColumn("synthetic", names.is_synthetic(F.col("kind"), F.col("name"), F.col("access")))
 
 
 @query("""select m.id, '/mirror/' || m.owner || '.java' as file_path, cast(length(m.name) as int) as start_line from nodes m where m.kind = 'method' and m.name <> 'get'
