@@ -82,9 +82,8 @@ def simple_name(internal: Column) -> Column:
 
 
 def is_synthetic(kind: Column, name: Column, access: Column) -> Column:
-    """Compiler-made members: by the synthetic or bridge flag, or by the names compilers give."""
+    """Compiler-made members: by the synthetic or bridge bit (whatever that bit means for the kind), or by the names compilers give."""
     flagged = access.bitwiseAND(F.lit(0x1000 | 0x40)) != 0
-    flagged = F.when(kind == "field", access.bitwiseAND(F.lit(0x1000)) != 0).otherwise(flagged)
     named = ((kind == "field") & (name.startswith("val$") | name.startswith("this$"))) | ((kind == "method") & name.startswith("access$"))
     return (flagged | named).cast("int")
 

@@ -27,18 +27,23 @@ def callees_direct(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return calls.join(nodes.select("id"), F.col("target") == F.col("id"), "left").select(F.col("source").alias("method"), F.col("target").alias("callee"), F.col("id").isNull().alias("external"))
 
 
-def callers_virtual(calls: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(method, caller) through an overridden method, without direct callers."""
-    through = overrides.select(F.col("source").alias("method"), F.col("target").alias("parent")).join(calls.select(F.col("target").alias("parent"), F.col("source").alias("caller")), "parent")
+def callers_virtual(calls: DataFrame, overrides: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+    """(method, caller) through an overridden method, without direct callers; only of ``methods`` (method), if given."""
+    through = overrides.select(F.col("source").alias("method"), F.col("target").alias("parent"))
     direct = calls.select(F.col("target").alias("method"), F.col("source").alias("caller"))
+    if methods is not None:  # the few meant first, so neither join meets the whole graph
+        through, direct = through.join(methods, "method", "left_semi"), direct.join(methods, "method", "left_semi")
+    through = through.join(calls.select(F.col("target").alias("parent"), F.col("source").alias("caller")), "parent")
     return through.select("method", "caller").distinct().join(direct, ["method", "caller"], "left_anti")
 
 
-def callees_virtual(calls: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(method, callee) through an overriding method, without direct callees."""
-    through = calls.select(F.col("source").alias("method"), "target").join(overrides.select("target", F.col("source").alias("callee")), "target")
-    direct = calls.select(F.col("source").alias("method"), F.col("target").alias("callee"))
-    return through.select("method", "callee").distinct().join(direct, ["method", "callee"], "left_anti")
+def callees_virtual(calls: DataFrame, overrides: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+    """(method, callee) through an overriding method, without direct callees; only of ``methods`` (method), if given."""
+    own = calls.select(F.col("source").alias("method"), "target")
+    if methods is not None:
+        own = own.join(methods, "method", "left_semi")
+    through = own.join(overrides.select("target", F.col("source").alias("callee")), "target")
+    return through.select("method", "callee").distinct().join(own.withColumnRenamed("target", "callee"), ["method", "callee"], "left_anti")
 
 
 def caller_step(calls: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -79,15 +84,16 @@ def override_edges(closure: DataFrame, methods: DataFrame) -> DataFrame:
     return sub.join(sup, ["a", "name", "descriptor"]).select(names.method_id(F.col("t"), F.col("name"), F.col("descriptor")).alias("source"), names.method_id(F.col("a"), F.col("name"), F.col("descriptor")).alias("target")).distinct()
 
 
-def impact(step: DataFrame, starts: DataFrame, depth: int = IMPACT_DEPTH) -> DataFrame:
+def impact(step: DataFrame, starts: DataFrame, depth: int = IMPACT_DEPTH, *, written: bool = False) -> DataFrame:
     """(start, id, depth): everything that reaches a start in at most ``depth`` reverse steps, starts excluded.
 
-    ``starts`` has one column start.  Breadth first, so depth is the first level reached.
+    ``starts`` has one column start.  Breadth first, so depth is the first level reached.  ``written`` says that
+    ``step`` is a table already; else it is written once, not planned anew at every level.
     """
     depth = IMPACT_DEPTH if depth <= 0 else min(depth, MOST_IMPACT_DEPTH)
-    frontier = starts.select("start", F.col("start").alias("id")).distinct()
+    frontier = cut(starts.select("start", F.col("start").alias("id")).distinct())
     seen = frontier.withColumn("depth", F.lit(0))
-    edges = step.select(F.col("m").alias("id"), F.col("caller")).distinct()
+    edges = (step if written else cut(step.select("m", "caller"))).select(F.col("m").alias("id"), F.col("caller"))
     for level in range(1, depth + 1):
         new = frontier.join(edges, "id").select("start", F.col("caller").alias("id")).distinct().join(seen, ["start", "id"], "left_anti")
         frontier = cut(new)

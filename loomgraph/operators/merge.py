@@ -16,8 +16,16 @@ def last_positive(value: str) -> Column:
     return F.coalesce(F.expr(f"max_by({value}, seq) filter (where {value} > 0)"), F.expr(f"min_by({value}, seq)")).alias(value)
 
 
-def merge_nodes(rows: DataFrame) -> DataFrame:
-    """One row per id from rows in order of seq: kind and name of the first, first known owner, descriptor and file, last positive lines, last entry kind, synthetic if any is."""
+def merge_nodes(rows: DataFrame, policy: str = "first") -> DataFrame:
+    """One row per id from rows in order of seq: kind and name of the first, first known owner, descriptor and file, last positive lines, last entry kind, synthetic if any is.
+
+    By the policy "source_first" the file, too, is the last known, so that file and lines are of one row where a
+    source was read after its class file.
+    """
+    if policy not in ("first", "source_first"):
+        raise ValueError(f"no merge policy {policy}")
+    if policy == "source_first":
+        rows = rows.groupBy("id").agg(F.max_by("file_path", F.when(F.col("file_path").isNotNull(), F.col("seq"))).alias("source_path")).join(rows, "id").withColumn("file_path", F.col("source_path")).drop("source_path")
     return rows.groupBy("id").agg(
         F.min_by("kind", "seq").alias("kind"),
         F.min_by("name", "seq").alias("name"),
@@ -95,12 +103,27 @@ def resolve_source_calls(found: DataFrame, methods: DataFrame, imports: DataFram
 
 
 def enrich_positions(methods: DataFrame, positions: DataFrame) -> DataFrame:
-    """(id, file_path, start_line): by owner, name and descriptor; else by the number of parameters if that is unique."""
-    keyed = positions.select("owner", "name", F.col("descriptor").alias("at_descriptor"), names.arity(F.col("descriptor")).alias("n"), "file_path", "start_line")
-    exact = keyed.select("owner", "name", F.col("at_descriptor").alias("descriptor"), F.struct("file_path", "start_line").alias("exact")).dropDuplicates(["owner", "name", "descriptor"])
-    loose = keyed.groupBy("owner", "name", "n").agg(F.count("*").alias("k"), F.min(F.struct("file_path", "start_line")).alias("loose")).where("k = 1").drop("k")
+    """(id, file_path, start_line[, end_line]): by owner, name and descriptor; else by the number of parameters if that is unique."""
+    place = [c for c in ("file_path", "start_line", "end_line") if c in positions.columns]
+    keyed = positions.select("owner", "name", F.col("descriptor").alias("at_descriptor"), names.arity(F.col("descriptor")).alias("n"), *place)
+    exact = keyed.groupBy("owner", "name", F.col("at_descriptor").alias("descriptor")).agg(F.min(F.struct(*place)).alias("exact"))
+    loose = keyed.groupBy("owner", "name", "n").agg(F.count("*").alias("k"), F.min(F.struct(*place)).alias("loose")).where("k = 1").drop("k")
     met = methods.withColumn("n", names.arity(F.col("descriptor"))).join(exact, ["owner", "name", "descriptor"], "left").join(loose, ["owner", "name", "n"], "left")
-    return met.select("id", F.coalesce("exact", "loose").alias("p")).select("id", "p.file_path", "p.start_line")
+    return met.select("id", F.coalesce("exact", "loose").alias("p")).select("id", *[F.col(f"p.{c}") for c in place])
+
+
+def place_in_sources(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """``nodes`` with file and lines of the source that declares them, where there is one.
+
+    ``sources`` has the node rows of source files.  Types and fields are found by id, methods as by
+    ``enrich_positions``; what has no place there keeps its own.
+    """
+    place = ["file_path", "start_line", "end_line"]
+    plain = sources.where("kind <> 'method'").groupBy("id").agg(F.min(F.struct(*place)).alias("p"))
+    methods = nodes.where("kind = 'method'").select("id", "owner", "name", "descriptor")
+    found = enrich_positions(methods, sources.where("kind = 'method'")).where("start_line > 0").select("id", F.struct(*place).alias("p"))
+    met = nodes.join(plain.unionByName(found), "id", "left")
+    return met.select(*[F.coalesce(F.col(f"p.{c}"), F.col(c)).alias(c) if c in place else F.col(c) for c in nodes.columns])
 
 
 def numbered(rows: DataFrame, partition: list[str], order: list) -> DataFrame:

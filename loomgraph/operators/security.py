@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..plans.lineage import cut
 from . import graph
 from .graph import trace
 
@@ -73,6 +74,7 @@ def candidate_chains(sites: DataFrame, step: DataFrame, sources: DataFrame, *, d
     own = sinks.join(sources.select(F.col("m").alias("sink_method")), "sink_method", "left_semi").select("sink_method", F.array("sink_method").alias("chain"))
     chains = sinks.join(found.unionByName(own).distinct(), "sink_method").distinct()
     order = ["category", "sink", "sink_method", "chain"]
+    chains = cut(chains)  # counted and ranked from one written table
     total = chains.agg(F.count("*").alias("total"))
     first = chains.orderBy(*order).limit(budget)
     return first.withColumn("seq", F.row_number().over(Window.orderBy(*order))).crossJoin(total).select(*order, "seq", "total")

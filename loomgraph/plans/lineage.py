@@ -7,16 +7,27 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame below the session's checkpoint folder and go on from the written rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    Without spark.checkpoint.dir (tests, a laptop) the system's temporary folder is used.
+    Without spark.checkpoint.dir a session on one machine gets a folder below the system's temporary one; on a
+    cluster that would lose data, so there the setting must be there.
     """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return Path(tempfile.gettempdir(), f"loomgraph-{os.getuid()}").as_uri()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a frame below the session's shared folder and go on from the written rows."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), f"loomgraph-{os.getuid()}").as_uri()
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -440,7 +440,7 @@ def descriptor_arity(g):
 _MEMBERS = """select o_orderkey, case o_custkey%3 when 0 then 'field' when 1 then 'method' else 'class' end as kind, case o_orderkey%5 when 0 then 'val$x' when 1 then 'this$0' when 2 then 'access$000' else 'm' end as name, cast(case o_orderkey%7 when 0 then 4096 when 1 then 64 when 2 then 4160 when 3 then 9 else 1 end as int) as access from orders"""
 
 
-@query(f"""select *, cast(case when access in (4096, 4160) then 1 when access = 64 and kind <> 'field' then 1 when kind = 'field' and (name like 'val$%' or name like 'this$%') then 1 when kind = 'method' and name like 'access$%' then 1 else 0 end as int) as synthetic from ({_MEMBERS}) q""")
+@query(f"""select *, cast(case when access in (64, 4096, 4160) then 1 when kind = 'field' and (name like 'val$%' or name like 'this$%') then 1 when kind = 'method' and name like 'access$%' then 1 else 0 end as int) as synthetic from ({_MEMBERS}) q""")
 def synthetic_flags(g):
     return g.sql(_MEMBERS).withColumn("synthetic", names.is_synthetic(F.col("kind"), F.col("name"), F.col("access")))
 

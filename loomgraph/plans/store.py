@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("nodes", "edges", "files", "meta", "postings", "class_bytes", "texts", "members")
+TABLES = ("nodes", "edges", "files", "meta", "postings", "class_bytes", "texts", "members", "steps")
 NODE_COLUMNS = {"id", "kind", "name", "owner", "descriptor", "file_path", "start_line", "end_line", "entry_kind", "synthetic"}
 POINTER = "CURRENT"
 
@@ -45,13 +45,29 @@ def write(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> Snaps
     context = options.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     rename = spark.sparkContext._gateway.new_array(options.Options.Rename, 1)
     rename[0] = options.Options.Rename.OVERWRITE
+    before = _named(spark, root)
     context.rename(fresh, pointer, rename)
+    # Readers of the snapshot before keep it; the ones before that go.
+    for folder in fs.listStatus(pointer.getParent()):
+        found = folder.getPath().getName()
+        if found.startswith("snapshot-") and found not in (name, before):
+            fs.delete(folder.getPath(), True)
     return Snapshot(spark, f"{root}/{name}")
 
 
-def open_current(spark: SparkSession, root: str) -> Snapshot:
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _named(spark: SparkSession, root: str) -> str | None:
+    """The snapshot that the pointer names."""
     fs, pointer = _fs(spark, f"{root}/{POINTER}")
-    if not fs.exists(pointer):
+    return spark.sparkContext.wholeTextFiles(f"{root}/{POINTER}").values().first() if fs.exists(pointer) else None
+
+
+def open_current(spark: SparkSession, root: str) -> Snapshot:
+    name = _named(spark, root)
+    if not name:
         raise FileNotFoundError(f"nothing is indexed at {root}")
-    name = spark.sparkContext.wholeTextFiles(f"{root}/{POINTER}").values().first()
     return Snapshot(spark, f"{root}/{name}")

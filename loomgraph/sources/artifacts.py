@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +15,12 @@ from ..operators.inventory import route
 from . import classfile, javasource
 
 DEEPEST_ARCHIVE = 6
-MEMBERS = "path string, container string, kind string, internal string, content binary"
+#: Bytes and rows of an Arrow batch that a reader gives back, about.
+BATCH_BYTES, BATCH_ROWS = 4_000_000, 20_000
+MEMBERS = "path string, container string, kind string, internal string, content binary, error string"
 NODES = "id string, kind string, name string, owner string, descriptor string, file_path string, start_line int, end_line int, synthetic int, access int, annotations array<string>, class_annotations array<string>"
 EDGES = "source string, target string, kind string, line int, origin string, provenance string"
+PARSED = f"part string, path string, node struct<{NODES.replace(' ', ':').replace(',:', ',')}>, edge struct<{EDGES.replace(' ', ':').replace(',:', ',')}>, text string, error string"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -28,17 +32,19 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def expand(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, str, str, bytes]]:
     """(path, container, kind, content) of the classes and sources in an archive; nested jars and wars too, to a depth of 6.
 
-    Names that climb out of the archive are skipped, and so are module descriptors.  A jmod's header is
-    stepped over by the reader of its central directory.
+    Names that climb out of the archive are skipped, and so are module descriptors and repeats of a name.  A
+    jmod's header is stepped over by the reader of its central directory.
     """
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
     except (zipfile.BadZipFile, ValueError):
         return
+    seen = set()
     for entry in archive.infolist():
         member, low = entry.filename, entry.filename.lower()
-        if entry.is_dir() or ".." in member.split("/") or low.endswith("module-info.class"):
+        if entry.is_dir() or member in seen or ".." in member.split("/") or low.endswith("module-info.class"):
             continue
+        seen.add(member)
         if low.endswith((".jar", ".war")):
             if depth < DEEPEST_ARCHIVE:
                 yield from expand(f"{name}!/{member}", archive.read(entry), depth + 1)
@@ -46,28 +52,56 @@ def expand(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, str, s
             yield f"{name}!/{member}", name, low.rpartition(".")[2], archive.read(entry)
 
 
-def members(files: DataFrame) -> DataFrame:
-    """One row per class or source, alone or in an archive, with a class's internal name from its bytes; unreadable classes are dropped."""
+def _batched(rows: Iterator[tuple[dict, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of (row, bytes), bounded by bytes and rows."""
+    held, size = [], 0
+    for row, n in rows:
+        held.append(row)
+        size += n
+        if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, kind, content in zip(frame.path, frame.route, frame.content, strict=True):
-                found = expand(path, content) if kind == "archive" else [(path, None, kind, content)]
-                for member, container, what, data in found:
-                    internal = None
-                    if what == "class":
-                        try:
-                            internal = classfile.read_class(data).name
-                        except Exception:  # noqa: BLE001  any malformed input
-                            continue
-                    yield pd.DataFrame([(member, container, what, internal, data)], columns=["path", "container", "kind", "internal", "content"])
+def _arrow(spark: SparkSession, ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return files.select("path", "route", "content").mapInPandas(unpack, MEMBERS)
+    return to_arrow_schema(spark.createDataFrame([], ddl).schema)
 
 
-def skeleton(data: bytes) -> str:
+def members(files: DataFrame) -> DataFrame:
+    """One row per class or source, alone or in an archive, with a class's internal name from its bytes.
+
+    An unreadable class has no name and content, but an error; so has an archive that cannot be opened.
+    """
+    schema = _arrow(files.sparkSession, MEMBERS)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[dict, int]]:
+            row = lambda *x: dict(zip(schema.names, x, strict=True))
+            for batch in batches:
+                for path, kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if kind == "archive" and not zipfile.is_zipfile(io.BytesIO(content)):
+                        yield row(path, None, kind, None, None, "not an archive"), 0
+                    try:
+                        for member, container, what, data in expand(path, content) if kind == "archive" else [(path, None, kind, content)]:
+                            try:
+                                yield row(member, container, what, classfile.internal_name(data) if what == "class" else None, data, None), len(data)
+                            except ValueError as e:
+                                yield row(member, container, what, None, None, str(e)), 0
+                    except (zipfile.BadZipFile, zipfile.LargeZipFile, OSError, EOFError, RuntimeError, NotImplementedError, zlib.error) as e:
+                        yield row(path, None, kind, None, None, f"damaged archive: {e}"), 0
+
+        yield from _batched(rows(), schema)
+
+    return files.select("path", "route", "content").mapInArrow(unpack, MEMBERS)
+
+
+def skeleton(data: bytes | classfile.ClassFile) -> str:
     """What a class file declares and calls, as text: it stands in for source where there is none."""
-    cls = classfile.read_class(data)
+    cls = classfile.read_class(data) if isinstance(data, bytes) else data
     package, _, simple = cls.name.rpartition("/")
     kind = "interface" if cls.access & classfile.ACC_INTERFACE else "class"
     dotted = lambda names: ", ".join(x.replace("/", ".") for x in names)
@@ -82,37 +116,36 @@ def skeleton(data: bytes) -> str:
     return "\n".join([*out, "}"])
 
 
-def texts(found: DataFrame) -> DataFrame:
-    """(path, text): sources as they are; for classes their skeletons, under the class's own path ending in .java."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for path, kind, content in zip(frame.path, frame.kind, frame.content, strict=True):
-                if kind == "java":
-                    out.append((path, content.decode("utf-8", "replace")))
-                else:
-                    out.append((path.removesuffix(".class") + ".java", skeleton(content)))
-            yield pd.DataFrame(out, columns=["path", "text"])
-
-    return found.select("path", "kind", "content").mapInPandas(run, "path string, text string")
-
-
-def _rows(frames: Iterator[pd.DataFrame], part: int, columns: list[str]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for path, kind, content in zip(frame.path, frame.kind, frame.content, strict=True):
-            if kind == "class":
-                got = classfile.graph_rows(classfile.read_class(content), path)
-            else:
-                got = javasource.graph_rows(content.decode("utf-8", "replace"), path)
-            if got[part]:
-                yield pd.DataFrame(got[part], columns=columns)
-
-
-def extract(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Node and edge rows of members whose first copy has been chosen."""
-    slim = found.select("path", "kind", "content")
-    node_columns, edge_columns = ([c.split()[0] for c in ddl.split(", ")] for ddl in (NODES, EDGES))
-    nodes = slim.mapInPandas(lambda it: _rows(it, 0, node_columns), NODES)
-    edges = slim.mapInPandas(lambda it: _rows(it, 1, edge_columns), EDGES)
-    return nodes, edges
+def parsed(found: DataFrame) -> DataFrame:
+    """Everything a class or source tells, each read once: rows of part node, edge, text or error.
+
+    A source's text is itself, a class's its skeleton, under the class's own path ending in .java.  What
+    cannot be read has one row, its error.
+    """
+    schema = _arrow(found.sparkSession, PARSED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[dict, int]]:
+            for batch in batches:
+                for path, kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    try:
+                        if kind == "class":
+                            cls = classfile.read_class(content)
+                            (nodes, edges), text, at = classfile.graph_rows(cls, path), skeleton(cls), path.removesuffix(".class") + ".java"
+                        else:
+                            text, at = content.decode("utf-8", "replace"), path
+                            nodes, edges = javasource.scan(text, path)
+                    except Exception as e:  # noqa: BLE001  any malformed input
+                        yield {"part": "error", "path": path, "error": f"{type(e).__name__}: {e}"[:200]}, 0
+                        if kind == "java":
+                            yield {"part": "text", "path": path, "text": content.decode("utf-8", "replace")}, len(content)
+                        continue
+                    for node in nodes:
+                        yield {"part": "node", "path": path, "node": node}, 0
+                    for edge in edges:
+                        yield {"part": "edge", "path": path, "edge": edge}, 0
+                    yield {"part": "text", "path": at, "text": text}, len(text)
+
+        yield from _batched(rows(), schema)
+
+    return found.select("path", "kind", "content").mapInArrow(run, PARSED)

@@ -117,6 +117,20 @@ def _pool(r: _Reader) -> list:
     return pool
 
 
+def internal_name(data: bytes) -> str:
+    """A class's own name, from the constant pool alone; ValueError if there is none."""
+    r = _Reader(data)
+    try:
+        if r.take("I") != 0xCAFEBABE:
+            raise ValueError("not a class file")
+        r.raw(4)
+        pool = _pool(r)
+        r.raw(2)
+        return pool[pool[r.take("H")][1]][1]
+    except (struct.error, IndexError, TypeError) as e:
+        raise ValueError("the class file ends early") from e
+
+
 def _attributes(r: _Reader, pool: list) -> list[tuple[str, bytes]]:
     return [(pool[r.take("H")][1], r.raw(r.take("I"))) for _ in range(r.take("H"))]
 
@@ -276,7 +290,7 @@ def graph_rows(cls: ClassFile, path: str) -> tuple[list[dict], list[dict]]:
     for i in cls.interfaces:
         link(me, f"C:{i}", "implements", "bytecode")
     for name, descriptor, access in cls.fields:
-        synthetic = int(bool(access & ACC_SYNTHETIC) or name.startswith(("val$", "this$")))
+        synthetic = made(access) or int(name.startswith(("val$", "this$")))
         nodes.append(node(f"F:{cls.name}#{name}", "field", name, cls.name, descriptor, 0, access, synthetic, []))
         link(me, f"F:{cls.name}#{name}", "contains", "bytecode")
     for m in cls.methods:

@@ -288,13 +288,21 @@ def calls(unit: Unit) -> list[dict]:
     return [dict(zip(("source", "target", "kind", "line", "provenance"), r, strict=True)) | {"origin": "source"} for r in out]
 
 
-def graph_rows(text: str, path: str) -> tuple[list[dict], list[dict]]:
-    """Node and edge rows of a source file; a file that cannot be scanned has none."""
+def scan(text: str, path: str) -> tuple[list[dict], list[dict]]:
+    """Node and edge rows of a source file; ValueError if it cannot be scanned."""
     try:
         unit = _Scanner(text, path).scan()
-    except (ValueError, IndexError, KeyError):
-        return [], []
+    except (IndexError, KeyError) as e:
+        raise ValueError("unbalanced source") from e
     edges = dict(unit.edges)
     for e in calls(unit):
         edges.setdefault((e["source"], e["target"], e["kind"]), e)
     return unit.nodes, list(edges.values())
+
+
+def graph_rows(text: str, path: str) -> tuple[list[dict], list[dict]]:
+    """As ``scan``; a file that cannot be scanned has none."""
+    try:
+        return scan(text, path)
+    except ValueError:
+        return [], []

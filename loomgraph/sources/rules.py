@@ -29,11 +29,19 @@ def parse_changed(lines: DataFrame) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """The rule file at ``path``, or the built-in rules; a rule's number is its line."""
-    text = spark.sparkContext.wholeTextFiles(path).values().first() if path else (RULES / "rules.txt").read_text()
+    """The rule file at ``path``, or the built-in rules (also where that file is missing); a rule's number is its line."""
+    text = (_text(spark, path) if path else None) or (RULES / "rules.txt").read_text()
     return parse_rules(spark.createDataFrame(list(enumerate(text.splitlines(), 1)), "seq int, line string"))
 
 
+def _text(spark: SparkSession, path: str) -> str | None:
+    """A whole small file, by Spark's readers; none if it is not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.sparkContext.wholeTextFiles(path).values().first()
+
+
 def read_changed(spark: SparkSession, path: str) -> DataFrame:
     return parse_changed(spark.read.text(path).withColumnRenamed("value", "line"))
 
@@ -44,10 +52,11 @@ def git_changed(spark: SparkSession, folder: str, ref: str) -> DataFrame:
     return parse_changed(spark.createDataFrame([(x,) for x in out.splitlines()], "line string"))
 
 
-def read_json_rules(path: str | Path | None) -> list[dict]:
+def read_json_rules(path: str | Path | None, spark: SparkSession | None = None) -> list[dict]:
     """Sanitizer or propagation rules: {"rules": [...]}; a missing or bad file has none."""
     try:
-        found = json.loads(Path(path).read_text())["rules"] if path else []
+        text = None if not path else _text(spark, str(path)) if spark and not isinstance(path, Path) else Path(path).read_text()
+        found = json.loads(text)["rules"] if text else []
     except (OSError, ValueError, KeyError, TypeError):
         return []
     return [r for r in found if isinstance(r, dict)] if isinstance(found, list) else []

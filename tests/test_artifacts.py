@@ -208,3 +208,89 @@ def test_rule_files(spark, tmp_path):
     assert [tuple(r) for r in rules.read_rules(spark, str(tmp_path / "r.txt")).collect()] == [("sink", "a", "b/C", "d", 2)]
     assert rules.read_rules(spark).count() > 50
     assert rules.read_json_rules(tmp_path / "none.json") == [] and rules.read_json_rules(rules.RULES / "sanitizers.json")
+
+
+def test_lines_errors_and_places(spark, indexed):
+    """What the index keeps besides the graph: lines of linked calls, errors of files, places in sources."""
+    e = engine.Engine(spark, indexed[1].as_uri())
+    node = e.nodes.where(f"id = '{HELPER}'").first()
+    assert node.file_path.endswith("Web.java") and (node.start_line, node.end_line) == (10, 10)
+    assert e.nodes.where("id = 'F:p/Web#val'").first().file_path.endswith("Web.java")
+    assert e.nodes.where("id = 'C:p/Web$Face'").first().start_line == 17
+    assert {"work_dir", "materialize", "input", "indexed_at", "duplicate_classes"} <= set(e.meta)
+
+
+def test_unreadable_files_are_reported(spark, classes, tmp_path):
+    src, db = tmp_path / "in", tmp_path / "db"
+    src.mkdir()
+    web = classes["p/Web"]
+    at = web.rindex(b"\xb1")  # somewhere in a body: the pool parses, the code does not
+    (src / "Cut.class").write_bytes(web[: len(web) // 2])
+    (src / "Short.class").write_bytes(b"\xca\xfe")
+    (src / "bad.jar").write_bytes(b"no archive")
+    (src / "ok.jar").write_bytes(archive({"p/Base.class": classes["p/Base"], "p/Broken.java": "class {{{"}))
+    assert at
+    engine.index(spark, src.as_uri(), db.as_uri())
+    e = engine.Engine(spark, db.as_uri())
+    errors = {r.path.rpartition("/")[2]: r.errors for r in e.snapshot.files.collect()}
+    assert errors["Cut.class"] and errors["Short.class"] and errors["bad.jar"] and "Broken.java" in errors["ok.jar"]
+    assert e.nodes.where("id = 'C:p/Base'").count() == 1
+    assert "[" in server.as_text(e, "files", {}) and not list(db.glob("work-*"))
+
+
+def test_texts_of_answers(spark, indexed, tmp_path, capsys):
+    e = engine.Engine(spark, indexed[1].as_uri())
+    text = lambda tool, **a: server.as_text(e, tool, a)
+    got = text("status")
+    assert "files by origin: bytecode" in got and "duplicate classes: 6" in got and "stale:" in got and "indexed_at: 20" in got
+    assert "more files" not in text("files") and "... " in text("files", limit=1) and text("files", origin="x") == "no indexed files match"
+    assert "classes " in text("overview") and "exec: " in text("overview")
+    assert text("sinks", category="exec").count("->") == 1 and "[exec] (1)" in text("sinks") and text("sinks", category="none").startswith("no sinks")
+    assert "descriptor: (DLjava/lang/String;)V" in text("def", name=HELPER)
+    assert text("callers", name=HELPER).startswith("callers: ") and "direct" in text("callers", name=HELPER)
+    assert "verified flows" in text("taint", category="exec") and "budget=5" in text("taint", category="exec", budget="5")
+    assert text("method", **{"class": "p.Web", "method": "helper"}).count("void helper") == 1
+    one = e.method_source("p.Web", "helper", descriptor="(DLjava/lang/String;)V").collect()
+    assert len(one) == 1 and one[0].note is None
+    assert e.method_source("p.Web", "helper", arity=7).count() == 0
+    changed = tmp_path / "changed.txt"
+    changed.write_text("# c\np/Web.java\n")
+    assert server.main(["sinks", "--db", indexed[1].as_uri(), "--changed-files", changed.as_uri()]) == 0
+    assert "exec" in capsys.readouterr().out
+    changed.write_text("q/None.java\n")
+    assert server.main(["sinks", "--db", indexed[1].as_uri(), "--changed-files", changed.as_uri()]) == 0
+    assert "no sinks" in capsys.readouterr().out
+    assert server.main(["status", "--db", indexed[1].as_uri(), "--format", "json"]) == 0
+    assert json.loads(capsys.readouterr().out)[0]["nodes"] > 0
+
+
+def test_overloads_of_one_arity_are_told(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "B.java").write_text("package q;\nclass B {\n  void g() {\n    One.h(1);\n  }\n}\n")
+    (tmp_path / "in" / "One.java").write_text("package q;\nclass One {\n  void f(int a) { }\n  void f(long a) { }\n  void f() { }\n  static void h(int a) { }\n}\n")
+    engine.index(spark, (tmp_path / "in").as_uri(), (tmp_path / "db").as_uri())
+    e = engine.Engine(spark, (tmp_path / "db").as_uri())
+    linked = e.edges.where("provenance = 'source-resolved'").first()
+    assert (linked.source, linked.target, linked.line, linked.origin) == ("M:q/B#g()V", "M:q/One#h(I)V", 4, "source")
+    assert e.method_source("q.One", "f").count() == 3
+    assert e.method_source("q.One", "f", descriptor="(J)V").first().text.strip() == "void f(long a) { }"
+    told = e.method_source("q.One", "f", descriptor="(Ljava/lang/Void;)V").collect()
+    assert len(told) == 1 and told[0].note.startswith("ambiguous: 2") and "int a" in told[0].text
+
+
+def test_propagation_rules_and_virtual_hops(classes):
+    chain = ["M:p/Web#viaInterface(Lp/Web$Face;Ljava/lang/String;)V", "M:p/Web$Impl#face(Ljava/lang/String;)V", HELPER]
+    assert not taint.verify(chain, SINK, classes, RULES).passed
+    assert taint.verify(chain, SINK, classes, taint.Rules(RULES.sources, RULES.sanitizers, [], True)).passed
+    stop = [("java/lang/String", "valueOf", "*", "this", "ret")]
+    lost = ["M:p/Web#lost(Ljava/lang/String;)V", HELPER]
+    assert taint.verify(lost, SINK, classes, taint.Rules(set(), [], [])).passed
+    assert not taint.verify(lost, SINK, classes, taint.Rules(set(), [], stop)).passed
+    assert taint.verify(lost, SINK, classes, taint.Rules(set(), [], [("java/lang/String", "valueOf", "*", "this, any", "1,ret")])).passed
+
+
+def test_a_merge_policy_by_source(spark):
+    from loomgraph.operators import merge
+
+    rows = spark.createDataFrame([("a", "class", "A", None, None, "/A.class", 0, 0, None, 0, 0), ("a", "class", "A", None, None, "/A.java", 3, 9, None, 0, 1)], "id string, kind string, name string, owner string, descriptor string, file_path string, start_line int, end_line int, entry_kind string, synthetic int, seq int")
+    assert [merge.merge_nodes(rows, p).first().file_path for p in ("first", "source_first")] == ["/A.class", "/A.java"]
