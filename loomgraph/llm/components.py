@@ -32,12 +32,13 @@ def connected_components(edges: DataFrame, workspace: Workspace, name: str) -> D
 
     ``edges`` has columns a and b in any direction; loops, repeats and nulls are ignored.  No edges: no rows.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = workspace.stage(edges, f"{name}-0")
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = workspace.stage(edges.distinct(), f"{name}-0", rows=edges.count())
     seen, step = _checksum(edges), 0
     while seen[0]:
         step += 1
-        edges = workspace.stage(_hook(_hook(edges, larger=True), larger=False), f"{name}-{step}")
+        # A round makes at most two edges of each.
+        edges = workspace.stage(_hook(_hook(edges, larger=True), larger=False), f"{name}-{step}", rows=2 * seen[0])
         workspace.drop(f"{name}-{step - 1}")
         now = _checksum(edges)
         if now == seen:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .workspace import Workspace, grouped
+from .workspace import Workspace, grouped, partitions_for
 
 WORDS, BANDS, ROWS = 5, 64, 6
 THRESHOLD = 75  # per cent
@@ -184,10 +184,11 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sets, schema)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int, workspace: Workspace, name: str) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough; only documents in a pair are read again."""
-    pairs = workspace.stage(pairs.select("a", "b").distinct(), f"{name}-pairs")
-    if pairs.isEmpty():
+def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int, workspace: Workspace, name: str, most: int) -> DataFrame:
+    """The pairs (at most ``most``) whose full shingle sets are similar enough; only documents in a pair are read again."""
+    pairs = workspace.stage(pairs.select("a", "b").distinct(), f"{name}-pairs", rows=most)
+    n = pairs.count()
+    if not n:
         return pairs
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     full = workspace.stage(_sets(_only(docs, involved), words), f"{name}-sets")
@@ -205,7 +206,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int, work
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=linked.names)
 
-    links = workspace.stage(met.mapInArrow(confirm, linked), f"{name}-links")
+    links = workspace.stage(met.mapInArrow(confirm, linked), f"{name}-links", rows=n, rows_per_file=20_000)
     workspace.drop(f"{name}-sets")
     return links
 
@@ -266,12 +267,8 @@ def _postings(held: DataFrame, threshold: int) -> DataFrame:
     return own.mapInArrow(post, posting)
 
 
-def _blocks(postings: DataFrame) -> DataFrame:
-    """Postings dealt to comparisons: key, i, j and block beside what a posting holds.
-
-    A component with ``BLOCK`` postings or more under a key has blocks of its own, which never meet each other;
-    the small ones share blocks.  A row meets the blocks that can hold other components.
-    """
+def _lists(postings: DataFrame) -> DataFrame:
+    """(key, shared, large) of the keys that two components or more post: how many blocks the small components share, and the large ones' blocks."""
     counts = postings.groupBy("key", "component").agg(F.count("*").alias("c"))
     large = F.col("c") >= BLOCK
     keys = counts.groupBy("key").agg(
@@ -280,7 +277,16 @@ def _blocks(postings: DataFrame) -> DataFrame:
         # At most a BLOCK-th of the key's postings.
         F.collect_list(F.when(large, F.struct(F.col("component").alias("of"), F.ceil(F.col("c") / BLOCK).alias("parts")))).alias("large"),
     )
-    rows = postings.join(keys.where("components > 1"), "key")
+    return keys.where("components > 1").drop("components")
+
+
+def _blocks(postings: DataFrame, lists: DataFrame) -> DataFrame:
+    """Postings dealt to comparisons: key, i, j and block beside what a posting holds.
+
+    A component with ``BLOCK`` postings or more under a key has blocks of its own, which never meet each other;
+    the small ones share blocks.  A row meets the blocks that can hold other components.
+    """
+    rows = postings.join(lists, "key")
     code = lambda of, part: -1 - F.pmod(F.xxhash64(of, part), F.lit(1 << 62))
     parts = F.try_element_at(F.filter("large", lambda x: x["of"] == F.col("component")), F.lit(1))["parts"]
     block = F.when(parts.isNotNull(), code(F.col("component"), F.pmod(F.xxhash64("doc_id"), parts))).otherwise(F.pmod(F.xxhash64("component"), F.col("shared")))
@@ -391,16 +397,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = workspace.stage(_describe(docs, words, bands, rows), "described")
 
+    n = described.count()
     # Equal sets: one representative, the smallest id.
-    equal = workspace.stage(described.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "equal")
+    equal = workspace.stage(described.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "equal", rows=n)
     vertices = described.where("digest is not null").join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     buckets = vertices.select("doc_id", F.explode("keys").alias("key")).repartition("key")
     ends = buckets.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("center < last")
-    shared = workspace.stage(buckets.join(ends.select("key", "center", "size"), "key"), "shared")
-    star = workspace.stage(_alike(shared.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), described, floor), "star")
+    shared = workspace.stage(buckets.join(ends.select("key", "center", "size"), "key"), "shared", rows=bands * n, rows_per_file=250_000)
+    star = workspace.stage(_alike(shared.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), described, floor), "star", rows=shared.count())
 
     # Each vertex's most promising centre first.
-    first = _confirm(star.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")), docs, words, threshold, workspace, "first")
+    first = _confirm(star.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")), docs, words, threshold, workspace, "first", most=n)
     parts = connected_components(first, workspace, "parts")
 
     # Open documents: in a bucket of two components or more, or in a star pair between components.
@@ -409,15 +416,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     pairs = star.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
     ends_of_pairs = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("of_a").alias("component")), F.struct(F.col("b").alias("doc_id"), F.col("of_b").alias("component")))).alias("end")).select("end.*")
-    open_ids = workspace.stage(placed.join(split.select("key"), "key", "left_semi").select("doc_id", "component").unionByName(ends_of_pairs).distinct(), "open")
+    open_ids = workspace.stage(placed.join(split.select("key"), "key", "left_semi").select("doc_id", "component").unionByName(ends_of_pairs).distinct(), "open", rows=n)
     workspace.drop("shared")
 
     if not open_ids.isEmpty():
-        held = workspace.stage(_open(open_ids, described, docs, words), "held")
-        postings = workspace.stage(_postings(held, threshold), "postings")
-        packed = workspace.stage(_candidates(_blocks(postings), held, floor), "packed")
-        rest = workspace.stage(_confirm_lists(packed, held, threshold), "rest")
-        for name in ("postings", "packed", "held"):
+        held = workspace.stage(_open(open_ids, described, docs, words), "held", rows=open_ids.count(), rows_per_file=2_000)
+        # A document posts under the quarter of its shingles that the threshold leaves, at most.
+        most = held.agg(F.sum("n")).first()[0] * (100 - threshold) // 100 + held.count()
+        postings = workspace.stage(_postings(held, threshold), "postings", rows=most, rows_per_file=50_000)
+        posted = postings.count()
+        lists = workspace.stage(_lists(postings), "lists", rows=posted)  # written, so that a frequent key's postings can be split in the join
+        packed = workspace.stage(_candidates(_blocks(postings, lists), held, floor), "packed", rows=posted, rows_per_file=20_000)
+        rest = workspace.stage(_confirm_lists(packed, held, threshold), "rest", rows=packed.count(), rows_per_file=5_000)
+        for name in ("postings", "lists", "packed", "held"):
             workspace.drop(name)
         if not rest.isEmpty():
             parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest), workspace, "rest-parts")
@@ -426,15 +437,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return (
         described.select("doc_id", "n_shingles", "digest")
         .join(of_rep, "digest", "left")
+        .coalesce(partitions_for(spark, n, 100_000))
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """``docs`` with one document of each group, all columns as they were; of rows that repeat an id one stays."""
+    """``docs`` with one document of each group, all columns as they were; of rows that repeat an id one stays.
+
+    Null and empty texts and rows without id stay.  An empty table gives an empty result.
+    """
+    workspace = Workspace(docs.sparkSession, "dedup")
     dropped = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("near_duplicate_id")).distinct()
-    rest = docs.join(dropped, docs[id_col].eqNullSafe(dropped["near_duplicate_id"]), "left_anti")
+    dropped = workspace.stage(dropped, "dropped", rows=docs.count())
+    # Texts stay where they are read while the ids that go can be broadcast.
+    few = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    rest = docs.join(few, docs[id_col] == few["near_duplicate_id"], "left_anti")
     repeated = docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1))
     if repeated.isEmpty():
         return rest

@@ -37,6 +37,8 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces and gaps to a range, in one task.
 RANGE_ROWS = 500_000
+#: Rows to a partition of the result.
+ROWS_PER_FILE = 100_000
 #: A superstep takes the pieces of at least this share (4/5) of the longest one's length.
 CLASS = (4, 5)
 
@@ -314,7 +316,7 @@ def pack(rows: DataFrame, workspace: Workspace, *, capacity: int = CAPACITY, len
     places = placed[0]
     for more in placed[1:]:
         places = places.unionByName(more)
-    return rows.join(places, "pack_id").select(*kept, "sequence_id", "offset")
+    return rows.join(places, "pack_id").coalesce(partitions_for(rows.sparkSession, rows.count(), ROWS_PER_FILE)).select(*kept, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

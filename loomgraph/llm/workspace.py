@@ -1,14 +1,13 @@
 """Shared-storage tables that cut lineage, and small helpers for Arrow batches.
 
 Every intermediate that must survive a lost executor is a Parquet table under the folder named by
-``spark.checkpoint.dir``.  The setting is read from the session; only when it is unset (tests, a
-laptop) is a folder below the system's temporary directory used.
+``spark.checkpoint.dir``.  The setting is read from the session; only when it is unset on one machine (tests, a
+laptop) is a folder below the system's temporary directory used; a cluster must set it.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -16,8 +15,11 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.lineage import shared_folder
 
-BATCH_ROWS = 1_000
+#: Bytes of an Arrow batch, at most, and rows that a Parquet reader decodes at once: rows here hold whole texts, sets
+#: or vectors, and a batch has several copies in a task.
+BATCH_BYTES, READ_ROWS = 2_000_000, 512
 
 
 class Workspace:
@@ -25,29 +27,25 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = Path(tempfile.gettempdir(), f"loomgraph-{os.getuid()}").as_uri()
-        self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        importable_on_workers(spark)
+        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        prepare_workers(spark)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def stage(self, df: DataFrame, name: str, *, codec: str = "snappy", partition_by: str | None = None) -> DataFrame:
-        """Write once, then continue from the written rows: lineage ends here and nothing is recomputed."""
+    def stage(self, df: DataFrame, name: str, *, codec: str = "snappy", partition_by: str | None = None, rows: int | None = None, rows_per_file: int = 100_000) -> DataFrame:
+        """Write once, then continue from the written rows: lineage ends here and nothing is recomputed.
+
+        ``rows`` is a bound of the number of rows, where one is known: small tables then take few files, whatever
+        the number of shuffle partitions.
+        """
         path = self.path(name)
+        if rows is not None:
+            df = df.coalesce(partitions_for(self.spark, rows, rows_per_file))
         writer = df.write.option("compression", codec)
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        # Rows here hold whole texts, sets or vectors: small Arrow batches keep workers and executors small.
-        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(key)
-        conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
-        try:
-            writer.parquet(path)
-        finally:
-            conf.set(key, before)
+        writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -57,8 +55,15 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def importable_on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from the place the driver did."""
+def prepare_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from the place the driver did, and bound the session's batches for rows of whole texts.
+
+    Settings that are smaller already stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = spark.conf.get(key, str(1 << 30)).lower().removesuffix("b")
+        if not now.isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(key, str(most))
     top = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
