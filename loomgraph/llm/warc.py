@@ -3,7 +3,8 @@
 Writing: one record per page.  Of pages with equal payloads the one with the smallest id is a response
 record, the others are revisit records that refer to it.  Archives are plain WARC/1.1 files, written by
 Spark's text writer with the blank lines between records as its separator, so any file system that Spark
-writes will do.
+writes will do.  A writing task goes on to the next archive when one has ``ROLL`` bytes, so an archive is of
+bounded size (one page more at most), whatever the size of a task.
 
 Reading: every archive is parsed by its Content-Length fields; digests are recomputed from payload bytes,
 revisits are resolved against the responses that were read.
@@ -27,7 +28,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,10 @@ BETWEEN = "\r\n\r\n"
 RANGE, OFFERS = 50_000, 8
 #: Repeated payloads that are broadcast at most (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_PAYLOADS = 200_000
+#: Copies of a looked-up payload that its pages are dealt to, where they are joined by a shuffle.
+SALTS = 16
+#: Bytes from which an archive takes no more records, and archives that a task writes without sorting its records first.
+ROLL, OPEN_ARCHIVES = 64_000_000, 64
 _HEAD_END = b"\r\n\r\n"
 
 
@@ -82,7 +87,7 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
 
-def write_archives(pages: DataFrame, workspace: Workspace, *, name: str = "archives", least_bytes: int = 0) -> str:
+def write_archives(pages: DataFrame, workspace: Workspace, *, name: str = "archives", least_bytes: int = 0, roll_bytes: int = ROLL) -> str:
     """Write a record per page (page_id, url, html); returns the folder of WARC files.
 
     Payloads of fewer than ``least_bytes`` bytes are always responses.  A page with a null id is always a
@@ -90,26 +95,44 @@ def write_archives(pages: DataFrame, workspace: Workspace, *, name: str = "archi
     """
     slim = pages.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("sha1"), F.octet_length("html").alias("bytes"))
     firsts = slim.where(F.col("page_id").isNotNull() & (F.col("bytes") >= least_bytes)).groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    firsts = firsts.select("sha1", "first")
+    firsts = workspace.stage(firsts.select("sha1", "first"), f"{name}-firsts")
+    known = pages.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
     # Only payloads that repeat are looked up.  While they are few, pages stay where they are read.
-    if (firsts := workspace.stage(firsts, f"{name}-firsts")).count() <= BROADCAST_PAYLOADS:
-        firsts = F.broadcast(firsts)
-    typed = pages.withColumn("sha1", F.sha1(F.encode("html", "UTF-8"))).join(firsts, "sha1", "left")
+    typed = _looked_up(known, firsts, ["sha1"], firsts.count(), F.col("page_id"))
     typed = typed.select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = roll = 0
         for batch in batches:
-            out = []
+            out, rolls = [], []
             for page, url, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = html.encode()
-                out.append(_record(page, url, payload, payload_digest(payload), first))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-    path = workspace.path(name)
-    typed.mapInArrow(records, "value string").write.option("lineSep", BETWEEN).text(path)
+                record = _record(page, url, payload, payload_digest(payload), first)
+                out.append(record)
+                rolls.append(roll)
+                written += len(record) if record.isascii() else len(record.encode())
+                if written >= roll_bytes:
+                    written, roll = 0, roll + 1
+            yield pa.RecordBatch.from_arrays([pa.array(rolls, pa.int32()), pa.array(out, pa.string())], names=["roll", "value"])
+
+    path, conf, key = workspace.path(name), pages.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key, "0")
+    conf.set(key, str(OPEN_ARCHIVES))
+    try:
+        typed.mapInArrow(records, "roll int, value string").write.option("lineSep", BETWEEN).partitionBy("roll").text(path)
+    finally:
+        conf.set(key, before)
     return path
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, on: list[str], n: int, by: Column) -> DataFrame:
+    """``rows`` left-joined with a written table of ``n`` rows: by a broadcast while it is small, else by a shuffle that deals a frequent key's rows to ``SALTS`` copies by the hash of ``by``."""
+    if n <= BROADCAST_PAYLOADS:
+        return rows.join(F.broadcast(table), on, "left")
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS).cast("long"))).join(copies, [*on, "salt"], "left").drop("salt")
+
+
 def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Offset, header fields and block of each record of a WARC file."""
     at, size = 0, len(data)
@@ -151,24 +174,30 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     digest = payload_digest(block) if whole else None
                     if whole and digest != named:
                         raise ValueError(f"{archive}: the payload at byte {at} is damaged")
-                    row = (archive.rpartition("/")[2], at, _page(f["WARC-Record-ID"]), f["WARC-Type"], _page(f.get("WARC-Refers-To")), url_key(f["WARC-Target-URI"]), re.sub(r"\D", "", f["WARC-Date"]), len(block) if whole else None, digest, named)
+                    row = ("/".join(archive.split("/")[-2:]), at, _page(f["WARC-Record-ID"]), f["WARC-Type"], _page(f.get("WARC-Refers-To")), url_key(f["WARC-Target-URI"]), re.sub(r"\D", "", f["WARC-Date"]), len(block) if whole else None, digest, named)
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
+    # One value an archive: at most ROLL bytes and a page.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(parse, schema)
 
 
-def resolve(records: DataFrame) -> DataFrame:
-    """Fill revisits with the payload size and digest of the response they refer to; a missing one fails the read."""
-    wanted = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("target")).distinct()
-    found = records.where("record_type = 'response'").join(wanted, F.col("page_id") == F.col("target"), "left_semi").select(F.col("page_id").alias("target"), F.col("payload_bytes").alias("target_bytes"), F.col("payload_digest").alias("target_digest"))
-    met = records.join(found, (F.col("refers_to") == F.col("target")) & (F.col("named_digest") == F.col("target_digest")), "left")
+def resolve(records: DataFrame, workspace: Workspace, *, name: str = "targets") -> DataFrame:
+    """Fill revisits with the payload size and digest of the response they refer to; a missing one fails the read.
+
+    ``records`` is a written table, as by ``read_archives``.  Responses stay as they are.
+    """
+    wanted = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct()
+    found = records.where("record_type = 'response'").join(wanted, "page_id", "left_semi").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("named_digest"), F.col("payload_bytes").alias("target_bytes")).distinct()
+    found = workspace.stage(found, name)
+    met = _looked_up(records, found, ["refers_to", "named_digest"], found.count(), F.col("record_offset"))
     revisit = F.col("record_type") == "revisit"
     lost = F.raise_error(F.lit("a revisit record refers to a response that is not there"))
-    return met.withColumn("payload_bytes", F.when(revisit, F.coalesce("target_bytes", lost.cast("long"))).otherwise(F.col("payload_bytes"))).withColumn("payload_digest", F.when(revisit, F.col("target_digest")).otherwise(F.col("payload_digest"))).drop("target", "target_bytes", "target_digest", "named_digest")
+    met = met.withColumn("payload_bytes", F.when(revisit, F.coalesce("target_bytes", lost.cast("long"))).otherwise(F.col("payload_bytes")))
+    return met.withColumn("payload_digest", F.when(revisit, F.col("named_digest")).otherwise(F.col("payload_digest"))).select(*[c for c in records.columns if c != "named_digest"])
 
 
 class LoserTree:
@@ -213,7 +242,8 @@ def merge_index(records: DataFrame, workspace: Workspace, *, name: str = "index"
     """Captures in global order: _ENTRY columns, merge_range, merge_pos; sorted by (merge_range, merge_pos).
 
     Each archive is a run.  Split points come from every run's quantiles, so a range has about ``range_rows``
-    captures; equal keys are told apart by time, page, archive and offset, so a hot key is split too.
+    captures; equal keys are told apart by time, page, archive and offset, so a hot key is split too.  A null
+    page counts as -1.  No records: no captures.
     """
     spark = records.sparkSession
     key = ["url_key", "captured_at", "page_id", "archive", "record_offset"]
@@ -308,6 +338,6 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     spark = pages.sparkSession
     workspace = Workspace(spark, "warc")
     path = write_archives(_rows(pages, id_col, url_col, html_col), workspace)
-    records = workspace.stage(resolve(workspace.stage(read_archives(spark, path), "read")), "records")
+    records = workspace.stage(resolve(workspace.stage(read_archives(spark, path), "read"), workspace), "records")
     index = merge_index(records, workspace).select("archive", "record_offset", "merge_range", "merge_pos")
     return records.join(index, ["archive", "record_offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "archive", "record_offset", "merge_range", "merge_pos")
