@@ -11,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import partitions_for, shuffle_partitions
+
 SEED = "mix-1"
 #: Sizes to the power ``FLATTEN`` give the default weights: 1 keeps the sources' shares, 0 makes them equal.
 FLATTEN = 0.5
 #: Largest mean that is drawn at once.
 PART = 500
+#: Copies to a partition of the result, about.
+PARTITION_ROWS = 20_000
 #: Source tables up to this many rows are broadcast (about 100 bytes a row); larger ones are shuffled.
 BROADCAST_SOURCES = 10_000
 
@@ -29,6 +33,10 @@ def _hash52(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
+def _uniform(text: Column) -> Column:
+    return _hash52(text) / F.lit(float(1 << 52))
+
+
 def _inverse(rate: Column, uniform: Column) -> Column:
     """Smallest k with uniform < P(X <= k) for a Poisson X of a mean of at most ``PART``.
 
@@ -51,16 +59,18 @@ def _inverse(rate: Column, uniform: Column) -> Column:
     return F.aggregate(steps, state, step, lambda s: s["k"].cast("long"))
 
 
-def poisson_count(rate: Column, uniform: Column) -> Column:
+def poisson_count(rate: Column, uniform: Column, key: Column | None = None) -> Column:
     """A Poisson draw of the given mean by inversion at a uniform number (a null or zero mean: 0).
 
-    Means over ``PART`` would underflow at the first term; they are sums of draws of equal means up to ``PART``,
-    which is Poisson again, the first at the number itself and the others at numbers hashed from it.
+    Means over ``PART`` would underflow at the first term; they are sums of independent draws of equal means up to
+    ``PART``, which is Poisson again: the first at the number itself, the others at numbers hashed from ``key``
+    (the uniform number's own digits, where none is given).
     """
     parts = F.ceil(rate / PART).cast("int")
+    seed = key if key is not None else uniform.cast("string")
 
     def own(part: Column) -> Column:
-        return F.when(part == 1, uniform).otherwise(_hash52(F.concat_ws("|", uniform.cast("string"), part.cast("string"))) / F.lit(float(1 << 52)))
+        return F.when(part == 1, uniform).otherwise(_uniform(F.concat_ws("|", seed, F.lit("part"), part.cast("string"))))
 
     # Hashed before the sums, which would hash anew at each of their steps.
     numbers = F.transform(F.sequence(F.lit(1), parts), own)
@@ -69,21 +79,21 @@ def poisson_count(rate: Column, uniform: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, *, weights: DataFrame | None = None, source_col: str = "source", size: Column | None = None, factor: float = 1.0) -> DataFrame:
-    """(source, rate): mean copies per document so that sources take their target shares.
+    """(source, rate, docs): mean copies per document so that sources take their target shares, and documents.
 
     ``weights`` has source and weight (any positive scale); without it a weight is size ** FLATTEN.  Sizes
     are documents, or sums of ``size``.  ``factor`` scales the output against the input.  Null is a
     source of its own; sources without a weight, or of size 0, have rate 0.
     """
-    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.coalesce(F.sum(size if size is not None else F.lit(1.0)), F.lit(0.0)).cast("double").alias("size"))
+    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.coalesce(F.sum(size if size is not None else F.lit(1.0)), F.lit(0.0)).cast("double").alias("size"), F.count("*").alias("docs"))
     if weights is None:
         weighed = sizes.withColumn("weight", F.pow("size", F.lit(FLATTEN)))
     else:
         given = weights.select(F.col("source").alias("weight_of"), F.col("weight").cast("double").alias("weight"))
-        weighed = sizes.join(given, F.col("source").eqNullSafe(F.col("weight_of")), "left").select("source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        weighed = sizes.join(given, F.col("source").eqNullSafe(F.col("weight_of")), "left").select("source", "size", "docs", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     totals = weighed.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))  # one row
     rate = F.when((F.col("size") > 0) & (F.col("all_weight") > 0), factor * (F.col("weight") / F.col("all_weight")) * F.col("all_size") / F.col("size")).otherwise(0.0)
-    return weighed.crossJoin(F.broadcast(totals)).select("source", rate.alias("rate"))
+    return weighed.crossJoin(F.broadcast(totals)).select("source", rate.alias("rate"), "docs")
 
 
 def mix(docs: DataFrame, *, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, factor: float = 1.0) -> DataFrame:
@@ -93,21 +103,25 @@ def mix(docs: DataFrame, *, weights: DataFrame | None = None, id_col: str = "doc
     sources take part like any value; an empty table gives an empty result.
     """
     rates = source_rates(docs, weights=weights, source_col=source_col, size=size, factor=factor)
+    sources, copies = rates.agg(F.count("*"), F.coalesce(F.sum(F.col("docs") * F.col("rate")), F.lit(0.0))).first()
     rates = rates.select(F.col("source").alias("rate_of"), "rate")
-    if rates.count() <= BROADCAST_SOURCES:
+    if sources <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     source, doc_id, text = (F.col("doc").getField(c) for c in (source_col, id_col, text_col))
     drawn = (
         packed.join(rates, source.eqNullSafe(F.col("rate_of")))
         .withColumn("draw_key", _text_key(doc_id, text))
-        .withColumn("uniform", _hash52(F.col("draw_key")) / F.lit(float(1 << 52)))
-        .withColumn("copies", poisson_count(F.col("rate"), F.col("uniform")))
+        .withColumn("uniform", _uniform(F.col("draw_key")))
+        .withColumn("copies", poisson_count(F.col("rate"), F.col("uniform"), F.col("draw_key")))
         .where("copies > 0")
     )
-    copies = drawn.select("doc", "rate", "copies", "draw_key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", _hash52(F.concat_ws("|", "draw_key", F.col("copy").cast("string"))))
-    return keyed.select("doc", "copy", "copies", "rate", "shuffle_key").orderBy("shuffle_key", "copy", F.col("doc").getField(id_col))
+    copied = drawn.select("doc", "rate", "copies", "draw_key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    keyed = copied.withColumn("shuffle_key", _hash52(F.concat_ws("|", "draw_key", F.col("copy").cast("string"))))
+    # The key is uniform, so its high bits deal the rows evenly and in order: no pass to sample them first.
+    parts = max(shuffle_partitions(docs.sparkSession), partitions_for(docs.sparkSession, int(copies), PARTITION_ROWS))
+    part = F.floor(F.col("shuffle_key") / F.lit(float(1 << 52)) * parts).cast("int")
+    return keyed.select("doc", "copy", "copies", "rate", "shuffle_key").repartitionById(parts, part).sortWithinPartitions("shuffle_key", "copy", F.col("doc").getField(id_col))
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
@@ -128,9 +142,13 @@ rates as (select source, (weight / all_weight) * all_size / size as rate from sr
 keyed as (select d.*, rate, concat_ws('|', 'mix-1', coalesce(cast(doc_id as varchar), ''), md5(coalesce(text, ''))) as draw_key
   from documents d join rates on d.source is not distinct from rates.source),
 drawn as (select *, cast(('0x' || substr(md5(draw_key), 1, 13)) as bigint) / pow(2.0, 52) as u from keyed),
-cdf as (select source, rate, k, sum(p) over (partition by source order by k) as c from (
-  select source, rate, k::bigint as k, exp(-rate + k * ln(rate) - lgamma(k + 1)) as p from rates, range(0, 100) t(k))),
-drawn2 as (select d.doc_id, d.source, d.text, d.rate, d.draw_key, (select count(*) from cdf where cdf.source is not distinct from d.source and cdf.c <= d.u) as copies from drawn d)
+parts as (select source, cast(greatest(ceil(rate / 500), 1) as bigint) as parts, rate / greatest(ceil(rate / 500), 1) as mean from rates),
+cdf as (select source, k, sum(p) over (partition by source order by k) as c from (
+  select source, mean, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) as p from (select source, mean, unnest(range(0, cast(ceil(mean + 12 * sqrt(mean) + 41) as bigint))) as k from parts))),
+draws as (select d.source, d.draw_key, t.part, case when t.part = 1 then u else cast(('0x' || substr(md5(concat_ws('|', draw_key, 'part', cast(t.part as varchar))), 1, 13)) as bigint) / pow(2.0, 52) end as u
+  from (select distinct source, draw_key, u from drawn) d join (select source, unnest(range(1, parts + 1)) as part from parts) t on t.source is not distinct from d.source),
+counts as (select source, draw_key, cast(sum((select count(*) from cdf where cdf.source is not distinct from w.source and cdf.c <= w.u)) as bigint) as copies from draws w group by 1, 2),
+drawn2 as (select d.doc_id, d.source, d.text, d.rate, d.draw_key, n.copies from drawn d join counts n on n.source is not distinct from d.source and n.draw_key = d.draw_key)
 select doc_id, source, text, cast(round(rate, 9) as double) as rate, cast(copies as bigint) as copies, cast(copy as bigint) as copy,
   cast(('0x' || substr(md5(concat_ws('|', draw_key, cast(copy as varchar))), 1, 13)) as bigint) as shuffle_key
 from (select *, unnest(range(1, copies + 1)) as copy from drawn2)
