@@ -4,9 +4,10 @@ A bounded sample gives reference points (pivots) that are far from one another.
 by its nearest pivots in order; an inverted list per pivot holds the vectors that have it among their
 ``PREFIX`` nearest.  Two vectors that share at least ``SHARED`` listed pivots are candidates, and a link if
 their cosine, in double precision, reaches the threshold.  A pair is compared in one list only, that of its
-smallest shared pivot.
+smallest shared pivot.  A list of more than ``BLOCK`` vectors is split by their other pivots, and a pair is then
+compared in the part of its second smallest shared pivot, so parts stay short while the corpus grows.
 
-Lists are cut into blocks of bounded size and compared block against block.  A block comparison gives
+What is still long, a dense group, is cut into blocks of bounded size and compared block against block.  A block comparison gives
 back the number of links of each vector and a spanning forest of its links, never the pairs, so even one
 large group of near copies makes no more rows than its lists have members.  Equal vectors are one entry
 with a weight.
@@ -28,12 +29,17 @@ from .workspace import Workspace, grouped
 
 THRESHOLD = 0.95
 PREFIX, SHARED = 8, 2
-LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
-#: Rows read to choose pivots: this many for each pivot.
-SAMPLE_PER_PIVOT = 16
+#: Pivots are the square root of the rows; the driver chooses among them, which bounds their number.
+LEAST_PIVOTS, MOST_PIVOTS = 64, 16_384
+#: Rows read to choose pivots: this many for each pivot, and at most (8 bytes a component on the driver).
+SAMPLE_PER_PIVOT, MOST_SAMPLE = 16, 32_768
+#: Lists whose lengths are broadcast at most (about 24 bytes each); more are joined by a shuffle.
+BROADCAST_LISTS = 1_000_000
 #: Pivots are at most this similar, so a dense group does not take many of them.
 APART = 0.7
 BLOCK = 1024
+#: The second pivot of a list that is not split.
+WHOLE = -(1 << 31)
 
 
 def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -127,22 +133,22 @@ def _compare(entries: DataFrame, threshold: float, shared: int, item: str) -> Da
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("vec_id", kind), T.StructField("links", T.LongType()), T.StructField("root", kind)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, ["pivot", "i", "j"]):
+        for table in grouped(batches, ["pivot", "second", "i", "j"]):
             batch = table.combine_chunks().to_batches()[0]
-            pivot, i, j = (batch.column(k)[0].as_py() for k in range(3))
-            block = batch.column(3).to_numpy()
-            ids, weight = batch.column(4), batch.column(5).to_numpy()
-            x = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=item).reshape(batch.num_rows, -1).astype(np.float64)
+            pivot, second, i, j = (batch.column(k)[0].as_py() for k in range(4))
+            block = batch.column(4).to_numpy()
+            ids, weight = batch.column(5), batch.column(6).to_numpy()
+            x = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=item).reshape(batch.num_rows, -1).astype(np.float64)
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-            listed = np.array(batch.column(7).to_pylist())
+            listed = np.array(batch.column(8).to_pylist())
             names, coded = np.unique(listed, return_inverse=True)
             member = np.zeros((batch.num_rows, names.size), dtype=np.float32)
             np.put_along_axis(member, coded.reshape(listed.shape), 1, axis=1)
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             common = member[left] @ member[right].T
-            # Only where no smaller pivot is shared: every pair belongs to one list.
-            smaller = member[:, : np.searchsorted(names, pivot)]
+            # Only where no smaller pivot is shared, nor one between the two of a part: every pair belongs to one list.
+            smaller = member[:, (names < (pivot if second == WHOLE else second)) & (names != pivot)]
             candidate = (common >= shared) & (smaller[left] @ smaller[right].T == 0)
             if i == j:
                 candidate = np.triu(candidate, 1)
@@ -163,7 +169,7 @@ def _compare(entries: DataFrame, threshold: float, shared: int, item: str) -> Da
             links = np.zeros((rows.size, rows.size), dtype=bool)
             links[back[a], back[b]] = links[back[b], back[a]] = True
             root = rows[_forest(links)]
-            yield pa.RecordBatch.from_arrays([batch.column(8).take(pa.array(rows)), ids.take(pa.array(rows)), pa.array(count[rows].astype(np.int64)), ids.take(pa.array(root))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(9).take(pa.array(rows)), ids.take(pa.array(rows)), pa.array(count[rows].astype(np.int64)), ids.take(pa.array(root))], names=schema.names)
 
     return entries.mapInArrow(compare, schema)
 
@@ -174,7 +180,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do
     vectors of different lengths with one another.  Equal vectors (up to scale) are linked; repeated ids are
     vectors of their own that share a component.  A row without id links with nothing and is kept.
-    Other columns are not read.
+    Other columns are not read.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     workspace = Workspace(spark, "neighbors")
@@ -183,12 +189,14 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         vectors = vectors.withColumn("vector", F.col("vector").cast("array<double>"))
     n = vectors.count()
     wanted = pivots or pivots_for(n)
-    limit = SAMPLE_PER_PIVOT * wanted
-    draw = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000_007))
-    part = vectors.where("vector is not null")
+    limit = max(wanted, min(SAMPLE_PER_PIVOT * wanted, MOST_SAMPLE))
+    draw = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1_000_000_007))
+    usable_rows = part = vectors.where("vector is not null")
     if n > limit:
         part = part.where(draw < int(1_000_000_007 * min(1.0, 1.5 * limit / n)))
     sample = [r.vector for r in part.orderBy(draw, "vec_id").limit(limit).collect()]
+    if len(sample) < min(n, wanted):  # equal rows are drawn or left out together; then as they are read
+        sample += [r.vector for r in usable_rows.limit(limit).collect()]
     usable = _unit(sample)[1]
     width = max({x.size for x in usable}, key=[x.size for x in usable].count) if usable else 0
     points = choose_pivots([x for x in usable if x.size == width], wanted)
@@ -199,13 +207,17 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     entries = valid.join(equal.select(F.col("rep").alias("vec_id"), "digest", "weight"), ["vec_id", "digest"]).dropDuplicates(["vec_id", "digest"])
     entries = workspace.stage(entries, "entries")
 
-    # A list's blocks are dealt by hash, as many as its length asks for.
-    posted = entries.select("vec_id", "digest", F.explode("listed").alias("pivot"))
-    lists = posted.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each pivot
-    dealt = posted.join(F.broadcast(lists), "pivot").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    met = dealt.select("vec_id", "digest", "pivot", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).join(entries, ["vec_id", "digest"])
-    keys = ["pivot", "i", "j"]
-    placed = met.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "weight", "raw", "listed", "digest").repartition(*keys).sortWithinPartitions(*keys, "vec_id")
+    posted = entries.select("vec_id", "digest", "listed", F.explode("listed").alias("pivot"))
+    lengths = posted.groupBy("pivot").agg(F.count("*").alias("n"))  # a row for each pivot
+    # A pair whose smallest shared pivot is this one shares a larger one, too.
+    parts = F.filter("listed", lambda q: q > F.col("pivot")) if shared >= 2 else F.array(F.lit(WHOLE))
+    split = posted.join(F.broadcast(lengths), "pivot").select("vec_id", "digest", "pivot", F.explode(F.when(F.col("n") > BLOCK, parts).otherwise(F.array(F.lit(WHOLE)))).alias("second"))
+    # Blocks are dealt by hash, as many as a list's length asks for.
+    lists = workspace.stage(split.groupBy("pivot", "second").agg(F.count("*").alias("n")).where("n > 1").select("pivot", "second", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lists")
+    dealt = split.join(F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists, ["pivot", "second"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    met = dealt.select("vec_id", "digest", "pivot", "second", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).join(entries, ["vec_id", "digest"])
+    keys = ["pivot", "second", "i", "j"]
+    placed = met.select("pivot", "second", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "weight", "raw", "listed", "digest").repartition(*keys).sortWithinPartitions(*keys, "vec_id")
     found = workspace.stage(_compare(placed, threshold, shared, _item(vectors)), "found")
 
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
