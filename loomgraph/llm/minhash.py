@@ -206,7 +206,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int, work
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=linked.names)
 
-    links = workspace.stage(met.mapInArrow(confirm, linked), f"{name}-links", rows=n, rows_per_file=20_000)
+    links = workspace.stage(met.mapInArrow(confirm, linked), f"{name}-links", rows=n, rows_per_file=2_000)
     workspace.drop(f"{name}-sets")
     return links
 
@@ -404,7 +404,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = vertices.select("doc_id", F.explode("keys").alias("key")).repartition("key")
     ends = buckets.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("center < last")
     shared = workspace.stage(buckets.join(ends.select("key", "center", "size"), "key"), "shared", rows=bands * n, rows_per_file=250_000)
-    star = workspace.stage(_alike(shared.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), described, floor), "star", rows=shared.count())
+    star = workspace.stage(_alike(shared.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), described, floor), "star", rows=shared.count(), rows_per_file=10_000)
 
     # Each vertex's most promising centre first.
     first = _confirm(star.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")), docs, words, threshold, workspace, "first", most=n)
@@ -427,7 +427,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         posted = postings.count()
         lists = workspace.stage(_lists(postings), "lists", rows=posted)  # written, so that a frequent key's postings can be split in the join
         packed = workspace.stage(_candidates(_blocks(postings, lists), held, floor), "packed", rows=posted, rows_per_file=20_000)
-        rest = workspace.stage(_confirm_lists(packed, held, threshold), "rest", rows=packed.count(), rows_per_file=5_000)
+        rest = workspace.stage(_confirm_lists(packed, held, threshold), "rest", rows=packed.count(), rows_per_file=1_000)
         for name in ("postings", "lists", "packed", "held"):
             workspace.drop(name)
         if not rest.isEmpty():

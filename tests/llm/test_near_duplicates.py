@@ -143,6 +143,31 @@ def test_links_as_by_brute_force(spark, monkeypatch, block):
     assert neighbors.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_recall_at_two_sizes(spark, monkeypatch, n):
+    """Links found among all links of brute force, with lists that are split by second pivots."""
+    monkeypatch.setattr(neighbors, "BLOCK", 128)
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 24))
+    for k in range(0, n // 2, 5):  # groups of near copies, and one large group
+        x[k + 1 : k + 4] = x[k] + rng.normal(size=(3, 24)) * 0.16
+    x[n - n // 6 :] = x[0] + rng.normal(size=(n // 6, 24)) * 0.12
+    x = x.astype(np.float32)
+    got = neighbors.near_duplicates(spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    degree = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    found = np.array([r.n_links for r in sorted(got, key=lambda r: r.vec_id)])
+    assert (found <= degree).all() and found.sum() >= 0.98 * degree.sum() > 0
+
+
+def test_vectors_without_ids_still_choose_pivots(spark):
+    x = vectors(9)
+    rows = [(None, [float(v) for v in row]) for row in x] + [(i, [float(v) for v in x[i]]) for i in range(40)]
+    got = neighbors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert all((r.n_links, r.component_id, r.kept) == (0, None, True) for r in got if r.vec_id is None)
+    assert any(r.n_links for r in got if r.vec_id is not None)
+
+
 def test_forest_keeps_connectivity():
     rng = np.random.default_rng(1)
     for _ in range(50):

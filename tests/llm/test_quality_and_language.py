@@ -131,3 +131,80 @@ def test_long_texts_are_read_in_parts_without_a_difference():
     finally:
         langid._CHUNK = old
     assert whole.size == parts.size and (whole == parts).all()
+
+
+def plain_em(votes):
+    """Expectation-maximisation document by document, as the model is written down: no patterns, no arrays."""
+    import math
+
+    k = len(votes[0])
+    prior, sens, spec = 0.8, [0.3] * k, [0.99] * k
+    for _ in range(200):
+        post = []
+        for v in votes:
+            good = sum(math.log(spec[j]) if v[j] > 0 else math.log(1 - spec[j]) if v[j] < 0 else 0 for j in range(k))
+            bad = sum(math.log(sens[j]) if v[j] < 0 else math.log(1 - sens[j]) if v[j] > 0 else 0 for j in range(k))
+            post.append(1 / (1 + math.exp(min(500, max(-500, bad - good - math.log(prior / (1 - prior)))))))
+        clip = lambda x, a, b: min(b, max(a, x))
+        spec = [clip((sum(p for p, v in zip(post, votes, strict=True) if v[j] > 0) + 99) / (sum(p for p, v in zip(post, votes, strict=True) if v[j]) + 100), 0.95, 0.9999) for j in range(k)]
+        sens = [clip((sum(1 - p for p, v in zip(post, votes, strict=True) if v[j] < 0) + 3) / (sum(1 - p for p, v in zip(post, votes, strict=True) if v[j]) + 10), 0.1, 0.99) for j in range(k)]
+        prior = clip((sum(post) + 8) / (len(votes) + 10), 0.05, 0.95)
+    return post
+
+
+def test_posteriors_as_by_a_plain_program(spark):
+    rng = random.Random(8)
+    texts = [rng.choice([GOOD, JUNK, LOUD, "short and sweet", "line again\n" * 30, "a b c " * 40]) + f" {i}" * rng.randint(0, 3) for i in range(90)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.measures(docs).collect()}
+    votes = [[r.vote(quality.measure(t)) for r in quality.RULES] for t in texts]
+    for i, p in enumerate(plain_em(votes)):
+        n = plain(texts[i])
+        failed = n[0] < 50 or 100 * n[4] > 50 * n[0]
+        assert got[i].base_failed == failed and abs(got[i].quality - p) < 1e-6
+        assert got[i].kept == (not failed and p >= quality.KEEP_FROM)
+
+
+def test_a_posterior_at_the_bound_is_kept(spark):
+    docs = spark.createDataFrame([(1, GOOD, "x"), (2, JUNK, "y")], "doc_id long, text string, quality string")
+    found = {r.doc.doc_id: r.quality for r in quality.score(docs).collect()}
+    at = {r.doc.doc_id: r.kept for r in quality.score(docs, keep_from=found[1]).collect()}
+    assert at[1] and not {r.doc.doc_id: r.kept for r in quality.score(docs, keep_from=found[1] + 1e-9).collect()}[1]
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"word{i % 50_000}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, "x" * 3_000_000), (3, "\n" * 1_000_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.measures(docs).collect()}
+    assert got[1].n_words == 400_000 and got[1].n_repeat_words == 400_000 and got[2].n_words == 1 and got[3].n_words == 0
+
+
+def plain_logits(model, text):
+    """Mean of the scores of each word's pieces, word by word."""
+    import numpy as np
+
+    total, n = np.zeros(len(model.languages)), 0
+    for word in text.lower().encode().translate(langid._BLANKED).split():
+        padded = b" " + word + b" "
+        for size in (2, 3, 4):
+            for i in range(len(padded) - size + 1):
+                key = int.from_bytes(padded[i : i + size], "little")
+                h = (key * int(langid._KEYS[size]) & 0xFFFFFFFF) >> (32 - langid.BUCKET_BITS)
+                total += model.scores[h]
+                n += 1
+    return total / max(n, 1) + model.bias
+
+
+def test_predictions_as_by_a_plain_program():
+    import numpy as np
+
+    model = langid.train([(t, lang) for _, t, lang in corpus()])
+    for text in ["lo mi", "GRK, sht! 12 pfl", "a", "é lo teo ü", "x y z grk", " lo  mi\tnar\n"]:
+        assert np.allclose(model.logits(text), plain_logits(model, text), atol=1e-4), text
+
+
+def test_rows_without_ids_train_the_model(spark):
+    rows = [(None, t, lang) for _, t, lang in corpus()] * 20 + [(None, "vek hud paj", "zz")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(4)
+    model = langid.fit(docs)
+    assert model.languages == ["xx", "yy", "zz"] and model.predict("teo nar mi lo")[0] == "xx"
