@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import graph, security
+from ..operators import graph, search, security
+from .lineage import cut
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
 
@@ -65,18 +66,33 @@ def oracle(query: str) -> str:
     return "with recursive " + ",\n".join(f"{n} as ({q})" for n, q in (BASE | DERIVED).items()) + "\n" + query
 
 
+#: Frames that an index would store: written once for a session and folder, then read.
+STORED = ("cls", "mth", "calls", "rules", "nodes", "edges", "closure", "overrides", "step", "sites", "source_methods", "postings")
+
+
 class Fixture:
     """The fixture's frames for one folder of tables, each built when first asked for."""
 
+    _shared: dict[tuple[str, str], Fixture] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Fixture:
+        """The session's fixture of a folder, with what is stored of it already."""
+        return cls._shared.setdefault((spark.sparkContext.applicationId, sf_dir), cls(spark, sf_dir))
+
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self._make(name)
+            self._made[name] = cut(self._make(name)) if name in STORED else self._make(name)
         return self._made[name]
 
+    def totals(self) -> tuple[int, int]:
+        """Rows and tokens of the search index."""
+        return self.nodes.count(), self.postings.count()
+
     def sql(self, text: str) -> DataFrame:
         """A query that both engines read, over the tables and base frames it names."""
         for t in (*TABLES, *BASE):
@@ -100,6 +116,8 @@ class Fixture:
             return graph.caller_step(self.calls, self.overrides)
         if name == "sites":
             return security.call_sites(self.calls, self.rules)
+        if name == "postings":
+            return search.indexed(self.nodes).repartitionByRange("token").sortWithinPartitions("token")
         if name == "source_methods":
             return security.source_methods(self.sites)
         raise AttributeError(name)

@@ -20,7 +20,7 @@ def query(sql: str | None, *, fixture: bool = True):
     """Register a function of a Fixture under its own name, with its oracle."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixture(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixture.of(spark, sf_dir))
         if sql is not None:
             ORACLES[f.__name__] = oracle(sql) if fixture else sql
         return f
@@ -114,7 +114,7 @@ _STARTS = "select id as start from nodes where kind = 'method' and name = 'ship'
  select start, id, min(depth) as depth from bfs group by 1, 2 having min(depth) > 0""")
 def impact_bfs(g):
     starts = g.nodes.where("kind = 'method' and name = 'ship'").where(F.col("owner").startswith("geo/")).select(F.col("id").alias("start"))
-    return graph.impact(g.step, starts, 4)
+    return graph.impact(g.step, starts, 4, written=True)
 
 
 @query(f""", p as (select start, start as cur, [start] as path, [''] as key, 1 as depth from ({_STARTS})
@@ -288,7 +288,7 @@ def fts_postings(g):
 
 @query(f", post as ({_POST_SQL}) select id, cast(count(*) filter (where token = 'ship') as bigint) as tf_ship, cast(count(*) filter (where token = 'r1') as bigint) as tf_r1 from post group by id having tf_ship > 0 and tf_r1 > 0")
 def search_fts(g):
-    hits = search.term_hits(search.postings(g.nodes), "Ship R1")
+    hits = search.term_hits(g.postings, "Ship R1")
     return hits.groupBy("id").agg(F.sum(F.when(F.col("term") == 0, F.col("tf")).otherwise(0)).alias("tf_ship"), F.sum(F.when(F.col("term") == 1, F.col("tf")).otherwise(0)).alias("tf_r1"))
 
 
@@ -299,7 +299,7 @@ _BM25_SQL = f""", post as ({_POST_SQL}), dl as (select id, count(*) as len from
 
 @query(_BM25_SQL + " select id, round(score, 4) as score from sc")
 def search_bm25(g):
-    return search.bm25(g.nodes, "ship r1").select("id", F.round("score", 4).alias("score"))
+    return search.bm25(g.nodes, "ship r1", index=g.postings, totals=g.totals()).select("id", F.round("score", 4).alias("score"))
 
 
 _LIKE_SQL = "select id, name, kind, case when lower(name) = 'c11' then 0 else 1 end as rank from nodes where lower(name) = 'c11' or lower(name) like '%c11%' or lower(coalesce(owner, '')) like '%c11%' or lower(id) like '%c11%' or lower(coalesce(descriptor, '')) like '%c11%'"
@@ -314,7 +314,7 @@ def search_like(g):
  two as (select row_number() over (order by length(name), id) + 100 as pos, id from nodes where lower(id) like '%ship r1%' qualify pos <= 200),
  b as (select id, min(pos) as pos from (select * from one union all select * from two) group by id) select cast(row_number() over (order by pos) as int) as pos, id from b""")
 def search_combined(g):
-    return search.combined(g.nodes, "ship r1")
+    return search.combined(g.nodes, "ship r1", index=g.postings, totals=g.totals())
 
 
 @query("select path, line, text from (select path, unnest(range(1, len(l) + 1))::int as line, unnest(l) as text from (select path, string_split(text, chr(10)) as l from files)) where contains(lower(text), 'license') order by path, line limit 300")
