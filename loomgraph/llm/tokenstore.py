@@ -51,27 +51,42 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 def cut_points(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream; the last is its length."""
-    n = ids.size
-    if n <= LEAST:
-        return [n] if n else []
-    x = (ids.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
+    return cut_all([ids])[0]
+
+
+def cut_all(streams: list[np.ndarray]) -> list[list[int]]:
+    """``cut_points`` of several streams, hashed together.
+
+    A window that reaches back into the stream before ends nearer to its own stream's start than any cut may be.
+    """
+    sizes = np.array([x.size for x in streams], dtype=np.int64)
+    if not sizes.sum():
+        return [[] for _ in streams]
+    x = (np.concatenate(streams).astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
     x ^= x >> np.uint64(29)
-    rolled, power, width = x.copy(), int(_MULTIPLIER), 1
+    power, width = int(_MULTIPLIER), 1
     while width < WINDOW:  # doubling: the hash of 2w ids from two hashes of w ids
-        rolled[width:] += rolled[:-width].copy() * np.uint64(power)
+        x[width:] += x[:-width] * np.uint64(power)
         power, width = power * power % (1 << 64), width * 2
-    ends, last = [], 0
-    for c in (np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist():
-        while c - last > MOST:
+    found = np.flatnonzero(x >> np.uint64(64 - CUT_BITS) == 0) + 1
+    starts = np.cumsum(sizes) - sizes
+    bounds = np.searchsorted(found, [starts, starts + sizes]).T.tolist()
+    out = []
+    for start, n, (a, b) in zip(starts.tolist(), sizes.tolist(), bounds, strict=True):
+        ends, last = [], 0
+        for c in found[a:b].tolist() if n > LEAST else []:
+            c -= start  # noqa: PLW2901
+            while c - last > MOST:
+                last += MOST
+                ends.append(last)
+            if c - last >= LEAST and c < n:
+                ends.append(c)
+                last = c
+        while n - last > MOST:
             last += MOST
             ends.append(last)
-        if c - last >= LEAST and c < n:
-            ends.append(c)
-            last = c
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    return [*ends, n]
+        out.append([*ends, n] if n else [])
+    return out
 
 
 def _staged_schema(id_type: T.DataType) -> T.StructType:
@@ -96,12 +111,14 @@ def _encode(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, known = encoder(path), set()
+        size = enc.item.itemsize
         for batch in batches:
             n_tokens, lengths, digests, roots, new_digest, new_n, new_ids = [], [], [], [], [], [], []
-            for ids in enc.documents(batch.column(1).cast(pa.binary()).to_pylist()):
-                ends, last, own = cut_points(ids), 0, []
+            streams = list(enc.documents(batch.column(1).cast(pa.binary()).to_pylist()))
+            for ids, ends in zip(streams, cut_all(streams), strict=True):
+                last, own, whole = 0, [], ids.tobytes()
                 for end in ends:
-                    data = ids[last:end].tobytes()
+                    data = whole[last * size : end * size]
                     own.append(d := digest(data))
                     if d not in known:
                         known.add(d)
@@ -301,7 +318,10 @@ def read_digests(spark: SparkSession, store: str, *, item: str = "<u2") -> DataF
 
 
 def read_ids(spark: SparkSession, store: str, *, item: str = "<u2") -> DataFrame:
-    """The documents' ids themselves: doc_id, start, ids (array of int), one row per document."""
+    """The documents' ids themselves: doc_id, start, ids (array of int), one row per document, null ids and repeats included.
+
+    A store of no documents gives no rows.
+    """
     manifest = verify_manifest(spark, store)
     recipes = spark.read.parquet(f"{store}/recipes").join(F.broadcast(manifest.select("part", "tokens_before")), "part")
     pieces = recipes.select("part", "ordinal", F.posexplode("digests").alias("k", "digest")).join(spark.read.parquet(f"{store}/chunks").select("digest", "ids"), "digest")
@@ -318,7 +338,11 @@ def read_ids(spark: SparkSession, store: str, *, item: str = "<u2") -> DataFrame
 
 
 def store_documents(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write a store of all documents, read it back, and return the per-document digests."""
+    """Write a store of all documents, read it back, and return the per-document digests.
+
+    A null or empty text is the end id alone.  Null ids come first, repeated ids and rows are documents of
+    their own.  An empty table gives an empty result.
+    """
     workspace = Workspace(docs.sparkSession, "tokenstore")
     path = tokenizer or tokenizer_path(TOKENIZER)
     store = write_store(docs, workspace, tokenizer=path, id_col=id_col, text_col=text_col)

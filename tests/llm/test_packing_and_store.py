@@ -202,6 +202,31 @@ def test_damage_is_found(spark, docs, tmp_path):
         tokenstore.read_digests(spark, store)
 
 
+def plain_cuts(ids):
+    """Cut points id by id, with every window hashed on its own."""
+    multiplier, mask = int(tokenstore._MULTIPLIER), (1 << 64) - 1
+    mixed = [((int(x) + 1) * multiplier & mask) for x in ids]
+    mixed = [x ^ (x >> 29) for x in mixed]
+    ends, last = [], 0
+    for c in range(1, len(ids) + 1):
+        if c - last > tokenstore.MOST:
+            last += tokenstore.MOST
+            ends.append(last)
+        window = mixed[max(0, c - tokenstore.WINDOW) : c]
+        rolled = sum(x * pow(multiplier, k, 1 << 64) for k, x in enumerate(reversed(window))) & mask
+        if c - last >= tokenstore.LEAST and c < len(ids) and rolled >> (64 - tokenstore.CUT_BITS) == 0:
+            ends.append(c)
+            last = c
+    return [*ends, len(ids)] if len(ids) else []
+
+
+def test_cuts_of_many_streams():
+    rng = np.random.default_rng(2)
+    streams = [rng.integers(0, 50_000, n).astype("<u2") for n in (0, 1, 63, 64, 65, 900, 5000, 0, 3)] + [np.zeros(9000, dtype="<u2")]
+    assert tokenstore.cut_all(streams) == [tokenstore.cut_points(x) for x in streams] == [plain_cuts(x) for x in streams]
+    assert tokenstore.cut_all([]) == []
+
+
 @given(st.lists(st.integers(0, 50_000), max_size=3000), st.integers(0, 5))
 @settings(max_examples=30, deadline=None)
 def test_cuts_and_checksums(ids, k):
