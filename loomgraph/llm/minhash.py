@@ -417,7 +417,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = star.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
     ends_of_pairs = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("of_a").alias("component")), F.struct(F.col("b").alias("doc_id"), F.col("of_b").alias("component")))).alias("end")).select("end.*")
     open_ids = workspace.stage(placed.join(split.select("key"), "key", "left_semi").select("doc_id", "component").unionByName(ends_of_pairs).distinct(), "open", rows=n)
-    workspace.drop("shared")
+    for name in ("shared", "star", "first-pairs", "first-links"):
+        workspace.drop(name)
 
     if not open_ids.isEmpty():
         held = workspace.stage(_open(open_ids, described, docs, words), "held", rows=open_ids.count(), rows_per_file=2_000)

@@ -125,7 +125,11 @@ def mix(docs: DataFrame, *, weights: DataFrame | None = None, id_col: str = "doc
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mixture itself: rows of ``docs``, each as often as drawn, in shuffled order."""
+    """The mixture itself: rows of ``docs``, each as often as drawn, in shuffled order, with their own columns only.
+
+    Nulls in id, text or source are values like others; repeated rows are drawn alike.  An empty table gives an
+    empty result.
+    """
     return mix(docs, **how).select("doc.*")
 
 

@@ -320,6 +320,10 @@ def pack(rows: DataFrame, workspace: Workspace, *, capacity: int = CAPACITY, len
 
 
 def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise, cut and pack documents; one row per piece with its sequence and offset."""
+    """Tokenise, cut and pack documents; one row per piece with its sequence and offset.
+
+    A null or empty text is one piece, its end id.  Null and repeated ids stay as they are.  An empty table gives
+    an empty result.
+    """
     workspace = Workspace(docs.sparkSession, "packing")
     return pack(pieces(docs, capacity=capacity, tokenizer=tokenizer, id_col=id_col, text_col=text_col), workspace, capacity=capacity)

@@ -191,32 +191,38 @@ def _measured(docs: DataFrame, text_col: str) -> DataFrame:
     return packed.mapInArrow(run, schema)
 
 
+def _judged(measured: DataFrame, workspace: Workspace, keep_from: float) -> DataFrame:
+    """Measured rows with quality (posterior) and kept: measured once, fitted to the counts of patterns."""
+    rows = workspace.stage(measured, "measured")
+    counts = {r.votes: r["count"] for r in rows.groupBy("votes").count().collect()}  # 3 ** rules at most
+    fit = expectation_maximisation(counts)
+    table = rows.sparkSession.createDataFrame([(int(p), float(q)) for p, q in zip(fit.patterns, fit.posterior, strict=True)], "votes int, quality double")
+    return rows.join(F.broadcast(table), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_from))
+
+
 def score(docs: DataFrame, *, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """``docs`` packed in ``doc``, with counts, base_failed, votes, quality (posterior) and kept.
 
     Null and empty texts have no words and fail the base.  Ties at ``keep_from`` are kept.  Repeated rows
     count as often as they occur.  An empty table gives an empty result.
     """
-    workspace = Workspace(docs.sparkSession, "quality")
-    rows = workspace.stage(_measured(docs, text_col), "measured")
-    counts = {r.votes: r["count"] for r in rows.groupBy("votes").count().collect()}  # 3 ** rules at most
-    fit = expectation_maximisation(counts)
-    table = docs.sparkSession.createDataFrame([(int(p), float(q)) for p, q in zip(fit.patterns, fit.posterior, strict=True)], "votes int, quality double")
-    return rows.join(F.broadcast(table), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_from))
+    return _judged(_measured(docs, text_col), Workspace(docs.sparkSession, "quality"), keep_from)
 
 
 def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept."""
+    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept.
+
+    Nulls, ties, repeats and empty tables as in ``score``; null ids stay null.
+    """
     # The text goes no further than the measuring task: only the id is written.
     at = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    workspace = Workspace(docs.sparkSession, "quality")
-    rows = workspace.stage(_measured(at, "text").select("doc.doc_id", *[f.name for f in _OUT]), "measured")
-    counts = {r.votes: r["count"] for r in rows.groupBy("votes").count().collect()}
-    fit = expectation_maximisation(counts)
-    table = docs.sparkSession.createDataFrame([(int(p), float(q)) for p, q in zip(fit.patterns, fit.posterior, strict=True)], "votes int, quality double")
-    return rows.join(F.broadcast(table), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)).drop("votes")
+    return _judged(_measured(at, "text").select("doc.doc_id", *[f.name for f in _OUT]), Workspace(docs.sparkSession, "quality"), KEEP_FROM).drop("votes")
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+    """The documents that the rules keep, with all their columns.
+
+    Null, empty and short texts go; repeated rows stay or go together; a posterior of exactly ``KEEP_FROM``
+    stays.  An empty table gives an empty result.
+    """
     return score(docs, text_col=text_col).where("kept").select("doc.*")

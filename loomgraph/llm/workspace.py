@@ -15,11 +15,13 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.lineage import shared_folder
+from ..plans.lineage import register, shared_folder
 
 #: Bytes of an Arrow batch, at most, and rows that a Parquet reader decodes at once: rows here hold whole texts, sets
 #: or vectors, and a batch has several copies in a task.
 BATCH_BYTES, READ_ROWS = 2_000_000, 512
+#: Partitions that a driver can still schedule; tables beyond that many times their rows per partition get larger ones.
+MOST_PARTITIONS = 1_000_000
 
 
 class Workspace:
@@ -27,7 +29,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = register(spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
         prepare_workers(spark)
 
     def path(self, name: str) -> str:
@@ -77,7 +79,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:
     """As many partitions as the rows need, so their number follows the data and not the session's default."""
-    return max(1, min(-(-rows // rows_per_partition), 100_000))
+    return max(1, min(-(-rows // rows_per_partition), MOST_PARTITIONS))
 
 
 def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
