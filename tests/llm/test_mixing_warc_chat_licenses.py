@@ -174,6 +174,16 @@ def test_small_archives_and_the_shuffled_plan_give_the_same(spark, monkeypatch,
     assert len({r.archive for r in read}) == len(sizes)
 
 
+def test_very_long_texts(spark):
+    long = "é" * 1_500_000
+    turns = spark.createDataFrame([(1, 0, "a", long), (1, 1, "b", "x")], "conv_id long, turn long, role string, text string")
+    assert max(r.seg_end for r in chat.rotate(turns).collect()) > 1_500_000
+    docs = spark.createDataFrame([(1, "line\n" * 300_000 + "Released under CC0 1.0\n"), (2, "x" * 3_000_000)], "doc_id long, text string")
+    assert {r.doc_id: r.notices for r in licenses.scan(docs).collect()} == {1: "CC0-1.0", 2: ""}
+    pages = spark.createDataFrame([(1, "http://a", long), (2, "http://b", long)], "page_id long, url string, html string")
+    assert {(r.page_id, r.payload_bytes, r.refers_to) for r in warc.archive_pages(pages).collect()} == {(1, 3_000_000, None), (2, 3_000_000, 1)}
+
+
 def test_index_in_many_ranges(spark):
     rows = [(f"run{i % 5}", i, i % 97, "response", None, f"host{(i % 3) * (i % 7)}", f"{i % 11:014d}") for i in range(3000)]
     records = spark.createDataFrame(rows, "archive string, record_offset long, page_id long, record_type string, refers_to long, url_key string, captured_at string").repartition(5, "archive")

@@ -83,6 +83,42 @@ def test_a_dense_group_in_many_blocks(spark, monkeypatch):
     assert got == {i: g for i, (_, g) in brute(rows).items()}
 
 
+def test_the_shuffled_plan_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    expected = brute(rows)
+    assert got == {i: g for i, (_, g) in expected.items()}
+    assert sorted(r.doc_id for r in minhash.deduplicate(docs).collect()) == sorted(i for i, (_, g) in expected.items() if i == g)
+
+
+def test_large_components_in_one_list(spark, monkeypatch):
+    """Two dense groups and stragglers that share most shingles: large blocks, shared blocks and many askers."""
+    monkeypatch.setattr(minhash, "BLOCK", 6)
+    monkeypatch.setattr(minhash, "CHUNK", 5)
+    monkeypatch.setattr(minhash, "ASKERS", 3)
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(500)]
+    base = [rng.choice(vocab) for _ in range(120)]
+    other = base[:70] + [rng.choice(vocab) for _ in range(50)]
+    rows = []
+    for i in range(120):
+        words = list(base if i % 2 else other)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 7])):
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        rows.append((i, " ".join(words[: rng.choice([120, 120, 110, 95])])))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: g for i, (_, g) in brute(rows).items()}
+
+
+def test_very_long_texts(spark):
+    words = [f"word{i % 90_000}x{i % 7}" for i in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:299_000], *[f"new{i}" for i in range(900)]])), (3, "z" * 2_000_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2][1] == 1 and got[3] == (1, 3) and got[1][0] == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+
+
 def test_minima_estimate_similarity():
     rng = np.random.default_rng(0)
     family = minhash.Minima(64, 6)
@@ -147,6 +183,8 @@ def test_links_as_by_brute_force(spark, monkeypatch, block):
 def test_recall_at_two_sizes(spark, monkeypatch, n):
     """Links found among all links of brute force, with lists that are split by second pivots."""
     monkeypatch.setattr(neighbors, "BLOCK", 128)
+    if n == 1500:
+        monkeypatch.setattr(neighbors, "BROADCAST_LISTS", 0)
     rng = np.random.default_rng(n)
     x = rng.normal(size=(n, 24))
     for k in range(0, n // 2, 5):  # groups of near copies, and one large group
