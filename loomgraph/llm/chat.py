@@ -4,7 +4,8 @@ For every participant of a conversation the whole dialogue is rendered once with
 assistant and all others as named users; only the assistant's turns are trained on.  A rendering is kept
 as one row per (conversation, perspective, turn): its text segment, the segment's place in the rendered
 dialogue, and its mask.  Nothing gathers a conversation into one row or task, so it may be of any length:
-offsets are summed within blocks of turns first, then over the blocks.
+turns are range-sorted into blocks of bounded size (ties are cut, too), and offsets are summed within
+blocks first, then over the blocks.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 256
+from .workspace import Workspace, partitions_for
+
+#: Turn numbers to a block, and turns to a range: what has one number is cut there.
+BLOCK, RANGE = 256, 20_000
 NOBODY = "unknown"
 
 
@@ -36,12 +40,17 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
         F.col(turn_col).cast("long").alias("turn"),
         F.when(F.coalesce(F.trim(F.col(role_col)), F.lit("")) == "", F.lit(NOBODY)).otherwise(F.col(role_col)).alias("speaker"),
         F.coalesce(F.col(text_col), F.lit("")).alias("body"),
-    ).withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK))
+        F.monotonically_increasing_id().alias("tie"),
+    )
+    workspace = Workspace(turns.sparkSession, "chat")
+    order = ["conv_id", F.col("turn").asc_nulls_first(), "speaker", "body", "tie"]
+    ranged = rows.repartitionByRange(partitions_for(turns.sparkSession, rows.count(), RANGE), *order).withColumn("block", F.struct(F.spark_partition_id().alias("range"), F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK).alias("part")))
+    rows = workspace.stage(ranged, "turns")  # written, so that blocks and ties stay as they are
     people = rows.select(F.col("conv_id").alias("people_of"), F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
     rotated = (
         rows.join(people, F.col("conv_id").eqNullSafe(F.col("people_of")))
-        .select("conv_id", "perspective", "turn", "block", "speaker", "body", own.alias("trained"), _head(F.col("speaker"), own).alias("head"))
+        .select("conv_id", "perspective", "turn", "block", "tie", "speaker", "body", own.alias("trained"), _head(F.col("speaker"), own).alias("head"))
         .withColumn("segment", F.concat("head", "body", F.lit("<|end|>\n")))
         .withColumn("chars", F.length("segment").cast("long"))
     )
@@ -50,7 +59,7 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     before = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     nought = F.lit(0).cast("long")
     sums = sums.select(F.col("conv_id").alias("sum_of"), F.col("perspective").alias("sum_by"), F.col("block").alias("sum_block"), F.coalesce(F.sum("n").over(before), nought).alias("turns_before"), F.coalesce(F.sum("c").over(before), nought).alias("chars_before"))
-    within = Window.partitionBy("conv_id", "perspective", "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "body").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("conv_id", "perspective", "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "body", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         rotated.withColumn("k", F.count("*").over(within))
         .withColumn("start_in_block", F.coalesce(F.sum("chars").over(within), nought))

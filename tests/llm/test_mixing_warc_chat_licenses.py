@@ -82,6 +82,7 @@ def test_given_weights(spark, mixed_docs):
 
 def test_rotation_and_its_sql(spark, monkeypatch):
     monkeypatch.setattr(chat, "BLOCK", 3)
+    monkeypatch.setattr(chat, "RANGE", 4)
     rng = random.Random(2)
     rows = [(c, t, rng.choice(["user", "assistant", "system", "Ann", None, " "]), rng.choice(["hi", "", None, "a\nb", "é"]), "x") for c in (1, 2, None) for t in [*range(11), None, 4]]
     rows += [rows[0], (5, 0, "user", "alone", "x")]
