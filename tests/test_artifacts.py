@@ -264,6 +264,23 @@ def test_texts_of_answers(spark, indexed, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)[0]["nodes"] > 0
 
 
+def test_an_input_touched_later_is_stale(spark, tmp_path):
+    import os
+    import time
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "One.java").write_text("class One { }")
+    engine.index(spark, (tmp_path / "in").as_uri(), (tmp_path / "db").as_uri())
+    e = engine.Engine(spark, (tmp_path / "db").as_uri())
+    assert not e.touched() and "stale: no" in server.as_text(e, "status", {})
+    later = time.time() + 100
+    os.utime(tmp_path / "in", (later, later))
+    assert e.touched() and "input changed" in server.as_text(e, "status", {})
+    engine.index(spark, (tmp_path / "in").as_uri(), (tmp_path / "db").as_uri())
+    engine.index(spark, (tmp_path / "in").as_uri(), (tmp_path / "db").as_uri())
+    assert len(list((tmp_path / "db").glob("snapshot-*"))) == 2  # the one before stays for its readers
+
+
 def test_overloads_of_one_arity_are_told(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "B.java").write_text("package q;\nclass B {\n  void g() {\n    One.h(1);\n  }\n}\n")

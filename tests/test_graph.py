@@ -87,3 +87,52 @@ def test_scores_as_in_sqlite(spark):
     want = {i: round(s, 4) for i, s in con.execute("select id, bm25(f) from f where f match '\"alpha\" AND \"beta\"'")}
     df = spark.createDataFrame(rows, "id string, kind string, name string, owner string, descriptor string")
     assert {r.id: round(r.score, 4) for r in search.bm25(df, "alpha beta").collect()} == want
+
+
+def test_letters_with_marks_are_folded(spark):
+    rows = [("M:a/Café#prüfe()V", "method", "prüfe", "a/Café", "()V"), ("M:a/Cafe#other()V", "method", "other", "a/Cafe", "()V")]
+    df = spark.createDataFrame(rows, "id string, kind string, name string, owner string, descriptor string")
+    assert [r.id for r in search.combined(df, "PRUFE cafe").collect()] == [rows[0][0]]
+    assert {r.id for r in search.term_hits(search.postings(df), "CAFE").collect()} == {r[0] for r in rows}
+    assert search.fold("ÀŽ") == "az"
+
+
+def test_an_escaped_search_takes_wildcards_as_they_are(spark):
+    rows = [("M:a/B#x_y()V", "method", "x_y", "a/B", "()V"), ("M:a/B#xzy()V", "method", "xzy", "a/B", "()V")]
+    df = spark.createDataFrame(rows, "id string, kind string, name string, owner string, descriptor string")
+    assert search.like_hits(df, "x_y").count() == 2 and search.like_hits(df, "x_y", escape=True).count() == 1
+
+
+def test_a_stored_index_scores_as_a_made_one(spark):
+    df = nodes(spark)
+    index = search.indexed(df)
+    made = {r.id: r.score for r in search.bm25(df, "demo run").collect()}
+    assert made == {r.id: r.score for r in search.bm25(df, "demo run", index=index, totals=(df.count(), index.count())).collect()}
+
+
+def test_suffixes_may_start_in_a_name(spark):
+    from loomgraph.operators import inventory
+
+    paths = spark.createDataFrame([("/s/BA.java",), ("/s/A.java",), ("/s/B.java",), (None,), ("a",)], "p string")
+    found = inventory.ending_in(paths, "p", spark.createDataFrame([("A.java",), ("",), ("/s/A.javax",)], "suffix string"))
+    assert {r.p for r in found.collect()} == {"/s/BA.java", "/s/A.java"}
+    assert inventory.ending_in(paths, "p", spark.createDataFrame([], "suffix string")).count() == 0
+
+
+def test_entries_by_override_need_a_method_that_overrides(spark):
+    from loomgraph.operators import security
+
+    methods = [("A", "doIt", "()V", 1, None), ("A", "service", "()V", 8, None), ("A", "undo", "()V", 1, None), ("R", "run", "()V", 2, None), ("R", "run", "(I)V", 1, None), ("S", "run", "()V", 1, None), ("S", "call", "()V", 1, "HTTP")]
+    df = spark.createDataFrame(methods, "owner string, name string, descriptor string, access int, entry_kind string")
+    supers = spark.createDataFrame([("A", "javax/servlet/http/HttpServlet"), ("R", "java/lang/Runnable"), ("S", "java/lang/Runnable"), ("S", "java/util/concurrent/Callable")], "t string, a string")
+    got = {tuple(r) for r in security.entries_by_override(df, supers, security.override_rules(spark)).collect()}
+    assert got == {("M:A#doIt()V", "SERVLET"), ("M:S#run()V", "ASYNC")}
+
+
+def test_virtual_neighbours_of_the_methods_meant(spark):
+    calls = spark.createDataFrame([("x", "I.m"), ("y", "A.m"), ("A.m", "z"), ("x", "B.m")], "source string, target string")
+    overrides = spark.createDataFrame([("A.m", "I.m"), ("B.m", "I.m")], "source string, target string")
+    meant = spark.createDataFrame([("A.m",), ("x",)], "method string")
+    for f in (graph.callers_virtual, graph.callees_virtual):
+        whole = {tuple(r) for r in f(calls, overrides).collect()}
+        assert {tuple(r) for r in f(calls, overrides, meant).collect()} == {r for r in whole if r[0] in ("A.m", "x")}
