@@ -183,6 +183,7 @@ def test_links_as_by_brute_force(spark, monkeypatch, block):
 def test_recall_at_two_sizes(spark, monkeypatch, n):
     """Links found among all links of brute force, with lists that are split by second pivots."""
     monkeypatch.setattr(neighbors, "BLOCK", 128)
+    monkeypatch.setattr(neighbors, "SPLIT", 1)
     if n == 1500:
         monkeypatch.setattr(neighbors, "BROADCAST_LISTS", 0)
     rng = np.random.default_rng(n)

