@@ -4,7 +4,7 @@ A bounded sample gives reference points (pivots) that are far from one another.
 by its nearest pivots in order; an inverted list per pivot holds the vectors that have it among their
 ``PREFIX`` nearest.  Two vectors that share at least ``SHARED`` listed pivots are candidates, and a link if
 their cosine, in double precision, reaches the threshold.  A pair is compared in one list only, that of its
-smallest shared pivot.  A list of more than ``BLOCK`` vectors is split by their other pivots, and a pair is then
+smallest shared pivot.  A list of more than ``SPLIT`` blocks is split by its vectors' other pivots, and a pair is then
 compared in the part of its second smallest shared pivot, so parts stay short while the corpus grows.
 
 What is still long, a dense group, is cut into blocks of bounded size and compared block against block.  A block comparison gives
@@ -38,6 +38,8 @@ BROADCAST_LISTS = 1_000_000
 #: Pivots are at most this similar, so a dense group does not take many of them.
 APART = 0.7
 BLOCK = 1024
+#: Lists of more than so many blocks are split.
+SPLIT = 4
 #: The second pivot of a list that is not split.
 WHOLE = -(1 << 31)
 
@@ -211,7 +213,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     lengths = posted.groupBy("pivot").agg(F.count("*").alias("n"))  # a row for each pivot
     # A pair whose smallest shared pivot is this one shares a larger one, too.
     parts = F.filter("listed", lambda q: q > F.col("pivot")) if shared >= 2 else F.array(F.lit(WHOLE))
-    split = posted.join(F.broadcast(lengths), "pivot").select("vec_id", "digest", "pivot", F.explode(F.when(F.col("n") > BLOCK, parts).otherwise(F.array(F.lit(WHOLE)))).alias("second"))
+    split = posted.join(F.broadcast(lengths), "pivot").select("vec_id", "digest", "pivot", F.explode(F.when(F.col("n") > SPLIT * BLOCK, parts).otherwise(F.array(F.lit(WHOLE)))).alias("second"))
     # Blocks are dealt by hash, as many as a list's length asks for.
     lists = workspace.stage(split.groupBy("pivot", "second").agg(F.count("*").alias("n")).where("n > 1").select("pivot", "second", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lists")
     dealt = split.join(F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists, ["pivot", "second"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
