@@ -401,9 +401,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Equal sets: one representative, the smallest id.
     equal = workspace.stage(described.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "equal", rows=n)
     vertices = described.where("digest is not null").join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    buckets = vertices.select("doc_id", F.explode("keys").alias("key")).repartition("key")
+    buckets = vertices.select("doc_id", F.explode("keys").alias("key"))
     ends = buckets.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("center < last")
-    shared = workspace.stage(buckets.join(ends.select("key", "center", "size"), "key"), "shared", rows=bands * n, rows_per_file=250_000)
+    # Most buckets have one member; the others' centres are written, so that a frequent bucket can be split in the join.
+    ends = workspace.stage(ends.select("key", "center", "size"), "centers", rows=bands * n, rows_per_file=250_000)
+    shared = workspace.stage(buckets.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "key"), "shared")
     star = workspace.stage(_alike(shared.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), described, floor), "star", rows=shared.count(), rows_per_file=10_000)
 
     # Each vertex's most promising centre first.
@@ -417,7 +419,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = star.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
     ends_of_pairs = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("of_a").alias("component")), F.struct(F.col("b").alias("doc_id"), F.col("of_b").alias("component")))).alias("end")).select("end.*")
     open_ids = workspace.stage(placed.join(split.select("key"), "key", "left_semi").select("doc_id", "component").unionByName(ends_of_pairs).distinct(), "open", rows=n)
-    for name in ("shared", "star", "first-pairs", "first-links"):
+    for name in ("centers", "shared", "star", "first-pairs", "first-links"):
         workspace.drop(name)
 
     if not open_ids.isEmpty():
