@@ -19,6 +19,9 @@ class Snapshot:
         missing = NODE_COLUMNS - set(self.nodes.columns)
         if missing:
             raise ValueError(f"{path} was written by another version: nodes lack {', '.join(sorted(missing))}; index again")
+        fs, steps = _fs(spark, f"{path}/steps")
+        if not fs.exists(steps):
+            raise ValueError(f"{path} was written by another version: it has no steps; index again")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:

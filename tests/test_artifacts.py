@@ -201,6 +201,9 @@ def test_an_older_index_is_refused(spark, tmp_path):
         store.open_current(spark, tmp_path.as_uri())
     with pytest.raises(ValueError, match="synthetic"):
         store.write(spark, tmp_path.as_uri(), {"nodes": spark.createDataFrame([("x",)], "id string")})
+    columns = ", ".join(f"{c} string" for c in sorted(store.NODE_COLUMNS))
+    with pytest.raises(ValueError, match="steps"):
+        store.write(spark, tmp_path.as_uri(), {"nodes": spark.createDataFrame([], columns)})
 
 
 def test_rule_files(spark, tmp_path):
