@@ -210,6 +210,9 @@ def test_rule_files(spark, tmp_path):
     (tmp_path / "r.txt").write_text("# x\nsink a b/C#d\nbad\n")
     assert [tuple(r) for r in rules.read_rules(spark, str(tmp_path / "r.txt")).collect()] == [("sink", "a", "b/C", "d", 2)]
     assert rules.read_rules(spark).count() > 50
+    assert rules.read_rules(spark, str(tmp_path / "none.txt")).count() == rules.read_rules(spark).count()
+    (tmp_path / "p.json").write_text('{"rules": [{"className": "a/B", "methodName": "c", "from": "any", "to": "ret"}]}')
+    assert len(rules.read_json_rules((tmp_path / "p.json").as_uri(), spark)) == 1 and rules.read_json_rules((tmp_path / "q.json").as_uri(), spark) == []
     assert rules.read_json_rules(tmp_path / "none.json") == [] and rules.read_json_rules(rules.RULES / "sanitizers.json")
 
 
