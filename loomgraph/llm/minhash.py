@@ -405,7 +405,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ends = buckets.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("center < last")
     # Most buckets have one member; the others' centres are written, so that a frequent bucket can be split in the join.
     ends = workspace.stage(ends.select("key", "center", "size"), "centers", rows=bands * n, rows_per_file=250_000)
-    shared = workspace.stage(buckets.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "key"), "shared")
+    shared = workspace.stage(buckets.join(ends, "key"), "shared", rows=bands * n, rows_per_file=250_000)
     star = workspace.stage(_alike(shared.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), described, floor), "star", rows=shared.count(), rows_per_file=10_000)
 
     # Each vertex's most promising centre first.
