@@ -136,3 +136,18 @@ def test_virtual_neighbours_of_the_methods_meant(spark):
     for f in (graph.callers_virtual, graph.callees_virtual):
         whole = {tuple(r) for r in f(calls, overrides).collect()}
         assert {tuple(r) for r in f(calls, overrides, meant).collect()} == {r for r in whole if r[0] in ("A.m", "x")}
+
+
+def test_virtual_pairs_are_made_in_blocks(spark, monkeypatch):
+    """Against plain sets: several parents for a pair, direct callers left out, nulls, repeats; no step deals pairs out."""
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    rng = random.Random(4)
+    ids = [f"m{k}" for k in range(14)]
+    pick = lambda n: [(rng.choice(ids), rng.choice(ids)) for _ in range(n)]
+    calls, overrides = [*pick(60), (None, "m1"), (None, "m2"), ("m3", None)], [*pick(30), ("m5", "m1"), ("m5", "m2"), (None, "m2"), ("m4", None)]
+    want = {(o, c) for o, p in overrides for c, t in calls if t is not None and t == p and (c is None or o is None or (c, o) not in calls)}
+    frames = [spark.createDataFrame(rows, "source string, target string") for rows in (calls, overrides)]
+    got = graph.callers_virtual(*frames)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Generate explode")[0]
