@@ -151,3 +151,11 @@ def test_virtual_pairs_are_made_in_blocks(spark, monkeypatch):
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("Generate explode")[0]
+
+
+def test_virtual_callees_are_the_same_pairs(spark):
+    calls = spark.createDataFrame([("x", "I.m"), ("x", "A.m"), ("y", "I.m"), ("y", "J.m")], "source string, target string")
+    overrides = spark.createDataFrame([("A.m", "I.m"), ("B.m", "I.m"), ("B.m", "J.m")], "source string, target string")
+    got = graph.callees_virtual(calls, overrides)
+    assert sorted(tuple(r) for r in got.collect()) == [("x", "B.m"), ("y", "A.m"), ("y", "B.m")]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0]
