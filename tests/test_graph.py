@@ -159,3 +159,15 @@ def test_virtual_callees_are_the_same_pairs(spark):
     got = graph.callees_virtual(calls, overrides)
     assert sorted(tuple(r) for r in got.collect()) == [("x", "B.m"), ("y", "A.m"), ("y", "B.m")]
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0]
+
+
+def test_the_step_makes_virtual_callers_in_place(spark):
+    calls = [("x", "I.m"), ("x", "A.m"), ("x", "A.m"), (None, "I.m"), (None, "A.m"), ("z", None)]
+    overrides = [("A.m", "I.m"), ("B.m", "I.m"), (None, "I.m")]
+    frames = [spark.createDataFrame(rows, "source string, target string") for rows in (calls, overrides)]
+    got = graph.caller_step(*frames)
+    want = [("I.m", "x", 0), ("A.m", "x", 0), ("I.m", None, 0), ("A.m", None, 0), (None, "z", 0), ("B.m", "x", 1), ("B.m", None, 1), (None, "x", 1), (None, None, 1)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert "Generate explode" in got._jdf.queryExecution().executedPlan().toString()
+    few = graph.caller_step(*frames, spark.createDataFrame([("B.m",)], "method string"))
+    assert sorted(map(repr, map(tuple, few.collect()))) == sorted(map(repr, [r for r in want if r[0] == "B.m"]))
