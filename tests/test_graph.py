@@ -171,3 +171,10 @@ def test_the_step_makes_virtual_callers_in_place(spark):
     assert "Generate explode" in got._jdf.queryExecution().executedPlan().toString()
     few = graph.caller_step(*frames, spark.createDataFrame([("B.m",)], "method string"))
     assert sorted(map(repr, map(tuple, few.collect()))) == sorted(map(repr, [r for r in want if r[0] == "B.m"]))
+
+
+def test_the_context_takes_the_step_of_its_hits_only(spark):
+    from loomgraph.plans import fixture, registry
+
+    g = fixture.Fixture(spark, "/root/testdata/sf0.001")
+    assert registry.context_bundle(g).count() == 4 and "step" not in g._made
