@@ -178,3 +178,22 @@ def test_the_context_takes_the_step_of_its_hits_only(spark):
 
     g = fixture.Fixture(spark, "/root/testdata/sf0.001")
     assert registry.context_bundle(g).count() == 4 and "step" not in g._made
+
+
+def hierarchy(spark, seed):
+    """Calls and overrides by chance, and the step written out from them."""
+    rng = random.Random(seed)
+    ids = [f"m{k}" for k in range(10)]
+    pick = lambda n: [(rng.choice(ids), rng.choice(ids)) for _ in range(n)]
+    calls, overrides = pick(20), pick(7)
+    step = {(p, c): 1 for p, t in overrides for c, m in calls if m == t} | {(m, c): 0 for c, m in calls}
+    frames = [spark.createDataFrame(rows, "source string, target string") for rows in (calls, overrides)]
+    return ids, rng, graph.Reverse(*frames), [(m, c, rk) for (m, c), rk in step.items()]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_impact_without_a_written_step(spark, seed):
+    ids, _, reverse, step = hierarchy(spark, seed)
+    starts = spark.createDataFrame([(i,) for i in ids[:4]], "start string")
+    want = graph.impact(spark.createDataFrame(step, "m string, caller string, rk int"), starts, 4).collect()
+    assert sorted(map(tuple, graph.impact(reverse, starts, 4).collect())) == sorted(map(tuple, want))
