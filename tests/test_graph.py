@@ -197,3 +197,25 @@ def test_impact_without_a_written_step(spark, seed):
     starts = spark.createDataFrame([(i,) for i in ids[:4]], "start string")
     want = graph.impact(spark.createDataFrame(step, "m string, caller string, rk int"), starts, 4).collect()
     assert sorted(map(tuple, graph.impact(reverse, starts, 4).collect())) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_trace_without_a_written_step(spark, seed, monkeypatch):
+    ids, rng, reverse, step = hierarchy(spark, seed)
+    sources = set(rng.sample(ids, 2))
+    src = spark.createDataFrame([(s,) for s in sources], "m string")
+    starts = spark.createDataFrame([(i,) for i in ids], "start string")
+    monkeypatch.setattr(graph, "BROADCAST_ENDS", 5)
+    for depth, most in ((4, 2), (7, 20)):  # few: callers beyond most + depth are cut
+        rows = graph.trace(reverse, src, starts, depth=depth, paths=most).collect()
+        for s in ids:
+            mine = [(r.path, r.terminal) for r in sorted((r for r in rows if r.start == s), key=lambda r: r.k)]
+            assert mine == depth_first(step, sources, s, depth, most)
+
+
+def test_nearest_callers_hold_the_first_virtual_ones(spark):
+    """Direct callers that are a parent's first callers too do not push later virtual ones out."""
+    calls = [(f"c{k}", "I") for k in range(6)] + [("c0", "A"), ("c1", "A"), ("A", "c5"), ("d", "J")]
+    frames = [spark.createDataFrame(rows, "source string, target string") for rows in (calls, [("A", "I"), ("A", "J"), ("B", "I")])]
+    found = {r.cur: [tuple(c) for c in r.callers] for r in graph.Reverse(*frames).nearest(spark.createDataFrame([("B",)], "start string"), 4).collect()}
+    assert found["A"] == [(0, "c0"), (0, "c1"), (1, "c2"), (1, "c3")] and found["B"] == [(1, "c0"), (1, "c1"), (1, "c2"), (1, "c3")]
