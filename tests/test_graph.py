@@ -219,3 +219,10 @@ def test_nearest_callers_hold_the_first_virtual_ones(spark):
     frames = [spark.createDataFrame(rows, "source string, target string") for rows in (calls, [("A", "I"), ("A", "J"), ("B", "I")])]
     found = {r.cur: [tuple(c) for c in r.callers] for r in graph.Reverse(*frames).nearest(spark.createDataFrame([("B",)], "start string"), 4).collect()}
     assert found["A"] == [(0, "c0"), (0, "c1"), (1, "c2"), (1, "c3")] and found["B"] == [(1, "c0"), (1, "c1"), (1, "c2"), (1, "c3")]
+
+
+def test_graph_queries_store_no_step(spark):
+    from loomgraph.plans import fixture, registry
+
+    g = fixture.Fixture(spark, "/root/testdata/sf0.001")
+    assert registry.taint_candidates(g).count() > 0 and "step" not in g._made and "step" not in fixture.STORED
