@@ -173,6 +173,12 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
+def _buckets(described: DataFrame, equal: DataFrame) -> DataFrame:
+    """(doc_id, key) of the representatives; their keys, half a kilobyte each, stay where they are read like texts."""
+    vertices = _only(described.where("digest is not null").select("doc_id", "keys"), equal.select(F.col("rep").alias("doc_id")))
+    return vertices.select("doc_id", F.explode("keys").alias("key"))
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, shingles) with the full set of each whole text."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.BinaryType())])
@@ -400,8 +406,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n = described.count()
     # Equal sets: one representative, the smallest id.
     equal = workspace.stage(described.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "equal", rows=n)
-    vertices = described.where("digest is not null").join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    buckets = vertices.select("doc_id", F.explode("keys").alias("key"))
+    buckets = _buckets(described, equal)
     ends = buckets.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("center < last")
     # Most buckets have one member; the others' centres are written, so that a frequent bucket can be split in the join.
     ends = workspace.stage(ends.select("key", "center", "size"), "centers", rows=bands * n, rows_per_file=250_000)

@@ -216,3 +216,19 @@ def test_forest_keeps_connectivity():
         np.fill_diagonal(m, False)
         expected = groups(range(n), [(int(a), int(b)) for a, b in zip(*np.nonzero(m), strict=True)])
         assert neighbors._forest(m).tolist() == [expected[i] for i in range(n)]
+
+
+def test_keys_of_representatives_are_not_shuffled(spark):
+    """Whatever Spark's own limit of broadcasts is: ids are few enough here."""
+    from loomgraph.llm import minhash
+
+    described = spark.createDataFrame([(1, b"x", [5, 6]), (2, b"x", [5, 6]), (3, b"y", [6, 7]), (4, None, None)], "doc_id long, digest binary, keys array<long>")
+    equal = spark.createDataFrame([(b"x", 1, 2), (b"y", 3, 1)], "digest binary, rep long, copies long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = minhash._buckets(described, equal)
+        assert sorted(map(tuple, got.collect())) == [(1, 5), (1, 6), (3, 6), (3, 7)]
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
